@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, packing, quality, secrets, warc
+from . import bpe, linededup, packing, quality, secrets, warc
 from .common import table
 
 
@@ -23,6 +23,10 @@ def op6_tree_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip_digests(table(spark, sf_dir, "documents"), *vocabulary())
 
 
+def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return linededup.dedup_report(table(spark, sf_dir, "documents"))
+
+
 def op8_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.best_fit_sequences(table(spark, sf_dir, "documents"), vocabulary())
 
@@ -35,5 +39,5 @@ def op10_warc_revisits(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.archive_round_trip(table(spark, sf_dir, "pages"))
 
 
-QUERIES = {f.__name__: f for f in (op4_secret_scan, op6_tree_bpe, op8_best_fit_packing, op9_quality_rules, op10_warc_revisits)}
+QUERIES = {f.__name__: f for f in (op4_secret_scan, op6_tree_bpe, op7_line_dedup, op8_best_fit_packing, op9_quality_rules, op10_warc_revisits)}
 ORACLES: dict[str, str] = {}
