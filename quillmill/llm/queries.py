@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, linededup, neardup, packing, quality, secrets, warc
+from . import bpe, chunkdedup, linededup, neardup, packing, quality, secrets, warc
 from .common import table
 
 
@@ -19,6 +19,10 @@ def op2_weighted_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.near_duplicate_classes(table(spark, sf_dir, "documents"))
 
 
+def op3_chunk_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chunkdedup.repeated_runs(table(spark, sf_dir, "documents"))
+
+
 def op4_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.secret_report(table(spark, sf_dir, "documents"))
 
@@ -43,5 +47,5 @@ def op10_warc_revisits(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.archive_round_trip(table(spark, sf_dir, "pages"))
 
 
-QUERIES = {f.__name__: f for f in (op2_weighted_minhash, op4_secret_scan, op6_tree_bpe, op7_line_dedup, op8_best_fit_packing, op9_quality_rules, op10_warc_revisits)}
+QUERIES = {f.__name__: f for f in (op2_weighted_minhash, op3_chunk_dedup, op4_secret_scan, op6_tree_bpe, op7_line_dedup, op8_best_fit_packing, op9_quality_rules, op10_warc_revisits)}
 ORACLES: dict[str, str] = {}
