@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, chunkdedup, linededup, neardup, packing, quality, secrets, warc
+from . import bpe, chunkdedup, langid, linededup, neardup, packing, quality, secrets, warc
 from .common import table
 
 
@@ -15,6 +15,10 @@ def vocabulary() -> tuple[str, str]:
     return public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
 
 
+def op1_language_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.predict_held_out(table(spark, sf_dir, "documents"))
+
+
 def op2_weighted_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.near_duplicate_classes(table(spark, sf_dir, "documents"))
 
@@ -47,5 +51,5 @@ def op10_warc_revisits(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.archive_round_trip(table(spark, sf_dir, "pages"))
 
 
-QUERIES = {f.__name__: f for f in (op2_weighted_minhash, op3_chunk_dedup, op4_secret_scan, op6_tree_bpe, op7_line_dedup, op8_best_fit_packing, op9_quality_rules, op10_warc_revisits)}
+QUERIES = {f.__name__: f for f in (op1_language_mixture, op2_weighted_minhash, op3_chunk_dedup, op4_secret_scan, op6_tree_bpe, op7_line_dedup, op8_best_fit_packing, op9_quality_rules, op10_warc_revisits)}
 ORACLES: dict[str, str] = {}
