@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, chunkdedup, langid, linededup, neardup, packing, quality, secrets, warc
+from . import annsearch, bpe, chunkdedup, langid, linededup, neardup, packing, quality, secrets, warc
 from .common import table
 
 
@@ -31,6 +31,10 @@ def op4_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.secret_report(table(spark, sf_dir, "documents"))
 
 
+def op5_cross_polytope(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return annsearch.search_table(table(spark, sf_dir, "embeddings"))
+
+
 def op6_tree_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip_digests(table(spark, sf_dir, "documents"), *vocabulary())
 
@@ -51,5 +55,5 @@ def op10_warc_revisits(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.archive_round_trip(table(spark, sf_dir, "pages"))
 
 
-QUERIES = {f.__name__: f for f in (op1_language_mixture, op2_weighted_minhash, op3_chunk_dedup, op4_secret_scan, op6_tree_bpe, op7_line_dedup, op8_best_fit_packing, op9_quality_rules, op10_warc_revisits)}
+QUERIES = {f.__name__: f for f in (op1_language_mixture, op2_weighted_minhash, op3_chunk_dedup, op4_secret_scan, op5_cross_polytope, op6_tree_bpe, op7_line_dedup, op8_best_fit_packing, op9_quality_rules, op10_warc_revisits)}
 ORACLES: dict[str, str] = {}
