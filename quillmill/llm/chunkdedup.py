@@ -1,11 +1,12 @@
 """Substring dedup by content-defined chunking.
 
-A gear hash rolls over a text's bytes: h = 2 h + G[byte], of which the top bits
-of a 16-bit word are looked at, so only the last 16 bytes matter and all positions
-are computed at once by doubling. A chunk ends where those bits are zero, not
-before ``least`` and not after ``most`` bytes, and never inside a character. As
-cuts depend on nearby bytes only, an insertion changes the chunks around it and no
-others. Chunks are deduplicated by a 128-bit digest: a chunk is repeated if two
+A gear hash rolls over a text's bytes, in which every run of white space counts as
+one space, so passages that were wrapped anew still meet: h = 2 h + G[byte], of
+which the top bits of a 16-bit word are looked at, so only the last 16 bytes matter
+and all positions are computed at once by doubling. A chunk ends where those bits
+are zero, not before ``least`` and not after ``most`` bytes, and never inside a
+character. As cuts depend on nearby bytes only, an insertion changes the chunks
+around it and no others. Chunks are deduplicated by a 128-bit digest: a chunk is repeated if two
 documents hold it, and its first holder is the smallest of them.
 
 Neighbouring repeated chunks make a run. The report lists runs of at least
@@ -32,16 +33,16 @@ from pyspark.sql import DataFrame, functions as F
 from .common import filled_text, private
 
 _GEAR = np.random.default_rng(16).integers(0, 1 << 16, 256, dtype=np.uint16)
-_WORD_ENDS = np.zeros(256, bool)
-_WORD_ENDS[[9, 10, 11, 12, 13, 32]] = True
+_BLANK = np.zeros(256, bool)
+_BLANK[[9, 10, 11, 12, 13, 32]] = True
 
 
 @dataclass(frozen=True)
 class Chunking:
-    least: int = 24  #: bytes
-    bits: int = 5  #: a cut is expected every 2^bits bytes after least
-    most: int = 192
-    least_words: int = 25  #: of a reported run
+    least: int = 16  #: bytes
+    bits: int = 4  #: a cut is expected every 2^bits bytes after least
+    most: int = 128
+    least_words: int = 20  #: of a reported run
 
 
 def gear_hashes(data: np.ndarray) -> np.ndarray:
@@ -54,21 +55,35 @@ def gear_hashes(data: np.ndarray) -> np.ndarray:
     return h
 
 
+def squeezed(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """UTF-8 bytes with one space for every run of white space, and how many code points of the original end at or before each."""
+    blank = _BLANK[data]
+    keep = ~blank
+    keep[:1] = True
+    keep[1:] |= ~blank[:-1]
+    return np.where(blank, np.uint8(32), data)[keep], np.cumsum((data & 0xC0) != 0x80)[keep]
+
+
 def chunk_ends(data: np.ndarray, c: Chunking) -> list[int]:
     """Where the chunks of UTF-8 bytes end."""
     n = len(data)
     if not n:
         return []
     starts = np.r_[(data[1:] & 0xC0) != 0x80, True]  # whether a character starts after the byte
-    cuts = np.flatnonzero((gear_hashes(data) >> np.uint16(16 - c.bits) == 0) & starts) + 1
+    h = np.where(starts, gear_hashes(data), np.uint16(0xFFFF))
+    cuts = np.flatnonzero((h >> np.uint16(16 - c.bits) == 0) & starts) + 1
     ends, at, k, m = [], 0, 0, len(cuts)
     cuts = cuts.tolist()
     while at < n:
         while k < m and cuts[k] < at + c.least:
             k += 1
-        end = min(cuts[k] if k < m else n, at + c.most, n)
-        while not starts[end - 1]:
-            end += 1
+        end = cuts[k] if k < m else n
+        if end > at + c.most:
+            # No cut in reach, as in periodic text: the last of the least hashes there, which moves with the content.
+            reach = h[at + c.least - 1 : at + c.most]
+            end = at + c.most - int(reach[::-1].argmin())
+            while not starts[end - 1]:
+                end += 1
         ends.append(end)
         at = end
     return ends
@@ -88,14 +103,13 @@ def chunks(docs: DataFrame, c: Chunking = Chunking()) -> DataFrame:
             of, columns, size = [], [[] for _ in kinds], 0
             for row, t in enumerate(b.column("text")):
                 raw = t.as_buffer()
-                raw = raw.to_pybytes() if raw is not None else b""
-                data = np.frombuffer(raw, np.uint8)
+                data, place = squeezed(np.frombuffer(raw if raw is not None else b"", np.uint8))
                 ends = chunk_ends(data, c)
                 if not ends:
                     continue
-                e = np.array(ends)
-                points = np.cumsum((data & 0xC0) != 0x80)[e - 1]
-                blank = _WORD_ENDS[data]
+                e, raw = np.array(ends), data.tobytes()
+                points = place[e - 1]
+                blank = data == 32
                 words = np.cumsum(~blank & np.r_[True, blank[:-1]])[e - 1]
                 digests = np.frombuffer(b"".join(xxhash.xxh3_128_digest(raw[i:j]) for i, j in zip([0, *ends[:-1]], ends, strict=True)), "<i8").reshape(-1, 2)
                 of.append(np.full(len(e), row))

@@ -4,8 +4,13 @@ A document is a weighted set: its five-word shingles, each weighing its count
 times an inverse document frequency. Document frequencies are counted over all
 documents in a hashed table of fixed size (2^20 counters), so the table that
 travels to the workers doesn't grow with the corpus; shingles that share a counter
-share a frequency. Documents are similar if their weighted Jaccard similarity
-(sum of minima over sum of maxima) is at least ``threshold``.
+share a frequency, which is relative to the corpus and so keeps its meaning at any
+size. The frequency weight is 1 up to the share ``common`` of all documents and
+falls beyond it: boilerplate of the whole corpus is discounted, while the shingles
+of a group of copies are not, although the group may hold a third of all documents
+(discounted there, each member's own few edits would outweigh all that it shares).
+Documents are similar if their weighted Jaccard similarity (sum of minima over sum
+of maxima) is at least ``threshold``.
 
 Sampling follows Ioffe's improved consistent weighted sampling: an element of
 weight w draws r, c ~ Gamma(2,1) and b ~ U(0,1) from its own hash, takes
@@ -51,6 +56,7 @@ _BLOCKS = 1024
 class Sampling:
     size: int = 5  #: words in a shingle
     threshold: float = 0.8
+    common: float = 0.4  #: share of documents up to which a shingle has full weight
     passes: int = 2  #: independent ways to deal elements into bins
     bins: int = 64  #: of each pass; a bin gives one sample
     rows: int = 4  #: samples in a band
@@ -88,9 +94,9 @@ def frequencies(docs: DataFrame, size: int = 5) -> tuple[np.ndarray, int]:
     return df, n
 
 
-def log_idf(df: np.ndarray, n: int) -> np.ndarray:
-    """ln of the inverse document frequency ln(1 + n / df) of every counter."""
-    return np.log(np.log1p(n / np.maximum(df, 1))).astype(np.float32)
+def log_idf(df: np.ndarray, n: int, common: float) -> np.ndarray:
+    """ln of the weight of every counter: ln(1 + n / df) against its value at the share common, at most 1."""
+    return np.log(np.minimum(1.0, np.log1p(n / np.maximum(df, 1)) / np.log1p(1 / common))).astype(np.float32)
 
 
 def log_weights(shingles: np.ndarray, counts: np.ndarray, logs: np.ndarray) -> np.ndarray:
@@ -218,7 +224,7 @@ def near_duplicate_classes(docs: DataFrame, s: Sampling = Sampling()) -> DataFra
     """doc_id and class_id of every row."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     df, n = frequencies(docs, s.size)
-    logs = docs.sparkSession.sparkContext.broadcast(log_idf(df, n))
+    logs = docs.sparkSession.sparkContext.broadcast(log_idf(df, n, s.common))
     signed = saved(_signed(docs, logs, s))
     known = signed.where("doc_id IS NOT NULL AND keys IS NOT NULL")
     # One node for equal texts: the smallest document that has the text.
