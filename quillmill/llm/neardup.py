@@ -20,12 +20,17 @@ sample, elements are dealt into bins and each bin keeps its least element; empty
 bins borrow from bins named by a fixed table, so equal sets borrow alike. Four
 samples make a band, and documents that share a band are candidates.
 
-No bucket is expanded into pairs. Equal texts are one node from the start. In
-every bucket, members are linked to its smallest member, and links are verified on
-the whole texts, first each document's smallest partner, then only links whose
-ends aren't connected yet. Members of a bucket that stay apart from its smallest
-member choose the smallest among themselves, and so on until no bucket has members
-left to try. Classes are the connected components of the verified links.
+Equal texts are one node from the start. Each document is first linked to the
+smallest document that it shares a bucket with, and these links are verified on the
+whole texts. That joins most of a group of copies at a linear cost. Buckets whose
+members still lie in several components are then compared exactly: their members'
+shingles meet by bucket, and a product of the members-by-shingles matrix with
+itself gives all weighted similarities at once, without a row per pair. Such a task
+returns no more links than join its components. A bucket too large for a task is
+dealt into blocks, and each two blocks meet in a task of their own, so memory stays
+bounded and no pair is left out; the work on one bucket of b members in m
+components that stay apart grows with b squared. Buckets with the same members are
+compared once. Classes are the connected components of the verified links.
 
 With similarity s a pair shares one of 32 bands of four samples with probability
 1 - (1 - s^4)^32: at 0.8 all but 5 in 10^8 in the limit of long texts.
@@ -61,6 +66,8 @@ class Sampling:
     bins: int = 64  #: of each pass; a bin gives one sample
     rows: int = 4  #: samples in a band
     attempts: int = 48  #: tries of an empty bin before it takes the next full one
+    block_members: int = 1024  #: of a bucket, compared in one task with as many others
+    block_elements: int = 500_000
 
 
 def frequencies(docs: DataFrame, size: int = 5) -> tuple[np.ndarray, int]:
@@ -211,13 +218,95 @@ def _verified(links: DataFrame, texts: DataFrame, logs, s: Sampling) -> DataFram
     return both.mapInArrow(run, "doc long, rep long")
 
 
-def _apart(links: DataFrame, classes: DataFrame | None) -> DataFrame:
-    """links whose ends are not in one class yet."""
-    if classes is None:
-        return links
-    a, b = classes.select(F.col("node").alias("doc"), F.col("component").alias("ca")), classes.select(F.col("node").alias("rep"), F.col("component").alias("cb"))
-    named = links.join(a, "doc", "left").join(b, "rep", "left")
-    return named.where(F.coalesce("ca", "doc") != F.coalesce("cb", "rep")).select(*links.columns)
+def _open_buckets(members: DataFrame, tried: DataFrame, classes: DataFrame) -> DataFrame:
+    """(key, doc, component) of the buckets that hold several components and more than one compared pair; of buckets with the same members one."""
+    named = members.select("key", "doc").join(classes, F.col("doc") == F.col("node"), "left").select("key", "doc", F.coalesce("component", "doc").alias("component"))
+    whole = named.groupBy("key").agg(F.count("*").alias("n"), F.min("doc").alias("lo"), F.max("doc").alias("hi"), F.bit_xor(F.xxhash64("doc")).alias("mark"), F.min("component").alias("a"), F.max("component").alias("b"))
+    pairs = tried.select(F.col("rep").alias("lo"), F.col("doc").alias("hi"), F.lit(2).cast("long").alias("n"))
+    left = whole.where("a < b").join(pairs, ["lo", "hi", "n"], "left_anti")
+    return named.join(left.groupBy("n", "lo", "hi", "mark").agg(F.min("key").alias("key")).select("key"), "key")
+
+
+def _elements(texts: DataFrame, s: Sampling) -> DataFrame:
+    """node, size, elements: a text's shingles in ascending order, each as often as it occurs."""
+
+    def run(batches):
+        for b in batches:
+            sets = [np.repeat(x, n) for _, part in sliced(b.column("text")) for x, n in document_shingles(part, s.size)]
+            yield pa.RecordBatch.from_arrays([b.column("node"), pa.array([len(x) for x in sets], pa.int64()), pa.array([x.tobytes() for x in sets], pa.binary())], ["node", "size", "elements"])
+
+    return texts.mapInArrow(run, "node long, size long, elements binary")
+
+
+def similarities(sets: list[np.ndarray], logs: np.ndarray, columns: int = 4096) -> np.ndarray:
+    """Weighted Jaccard similarities of all sets of ascending, possibly repeated shingles."""
+    owner = np.repeat(np.arange(len(sets)), [len(x) for x in sets])
+    every = np.concatenate(sets)
+    same = np.r_[False, (every[1:] == every[:-1]) & (owner[1:] == owner[:-1])]
+    first = np.maximum.accumulate(np.where(same, 0, np.arange(len(every))))
+    # The k-th occurrence of a shingle is an element of its own, so minima of counts are intersections.
+    element = every + (np.arange(len(every)) - first).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+    weight = np.exp(logs[(every >> np.uint64(64 - _BITS)).astype(np.int64)].astype(np.float64))
+    total = np.bincount(owner, weights=weight, minlength=len(sets))
+    _, at, n = np.unique(element, return_inverse=True, return_counts=True)
+    use = n[at] > 1
+    owner, weight = owner[use], weight[use]
+    at = np.unique(at[use], return_inverse=True)[1]
+    order = np.argsort(at, kind="stable")
+    at, owner, weight = at[order], owner[order], weight[order]
+    shared = np.zeros((len(sets), len(sets)))
+    for start in range(0, int(at[-1]) + 1 if len(at) else 0, columns):
+        i, j = np.searchsorted(at, (start, start + columns))
+        plain = np.zeros((len(sets), columns))
+        plain[owner[i:j], at[i:j] - start] = 1.0
+        heavy = np.zeros(columns)
+        heavy[at[i:j] - start] = weight[i:j]
+        shared += (plain * heavy) @ plain.T
+    return shared / (total[:, None] + total[None, :] - shared)
+
+
+def spanning(links: np.ndarray, nodes: np.ndarray) -> list[int]:
+    """Positions of those links (pairs of positions in nodes) that join parts not joined before."""
+    names, at = np.unique(nodes, return_inverse=True)
+    up = list(range(len(names)))
+
+    def top(x: int) -> int:
+        while up[x] != x:
+            up[x] = up[up[x]]
+            x = up[x]
+        return x
+
+    out = []
+    for k, (i, j) in enumerate(links.tolist()):
+        a, b = top(int(at[i])), top(int(at[j]))
+        if a != b:
+            up[max(a, b)] = min(a, b)
+            out.append(k)
+    return out
+
+
+def _compared(opened: DataFrame, texts: DataFrame, logs, s: Sampling) -> DataFrame:
+    """Links (doc, rep) that join components within the opened buckets."""
+    needed = opened.select(F.col("doc").alias("node")).distinct()
+    elements = saved(_elements(texts.join(needed, "node", "left_semi"), s))
+    sized = opened.join(elements.select(F.col("node").alias("doc"), "size"), "doc")
+    parts = F.greatest(F.ceil(F.sum("size") / s.block_elements), F.ceil(F.count("*") / s.block_members)).cast("int").alias("parts")
+    blocks = opened.join(sized.groupBy("key").agg(parts), "key").withColumn("own", F.pmod(F.xxhash64("doc"), F.col("parts")).cast("int"))
+    dealt = blocks.select("key", "doc", "component", "own", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("other"))
+    dealt = dealt.select("key", "doc", "component", F.least("own", "other").alias("one"), F.greatest("own", "other").alias("two"))
+    dealt = dealt.join(elements.select(F.col("node").alias("doc"), "elements"), "doc")
+
+    def compare(key, rows):
+        docs, groups = np.asarray(rows.column("doc")), np.asarray(rows.column("component"))
+        found = np.zeros((0, 2), np.int64)
+        if len(set(groups.tolist())) > 1:
+            near = similarities([np.frombuffer(x, np.uint64) for x in rows.column("elements").to_pylist()], logs.value) >= s.threshold - 1e-12
+            near &= groups[:, None] != groups[None, :]
+            found = np.argwhere(np.triu(near, 1))
+            found = docs[found[spanning(found, groups)]]
+        return pa.table({"doc": pa.array(found.max(axis=1), pa.int64()), "rep": pa.array(found.min(axis=1), pa.int64())})
+
+    return dealt.groupBy("key", "one", "two").applyInArrow(compare, "doc long, rep long").distinct()
 
 
 def near_duplicate_classes(docs: DataFrame, s: Sampling = Sampling()) -> DataFrame:
@@ -235,23 +324,11 @@ def near_duplicate_classes(docs: DataFrame, s: Sampling = Sampling()) -> DataFra
     members = saved(members.join(buckets, "key"))
     texts = docs.join(firsts.select(F.col("node")).distinct(), F.col("doc_id") == F.col("node"), "left_semi").select(F.col("doc_id").alias("node"), filled_text().alias("text"))
 
-    links = saved(members.where("doc > rep").select("doc", "rep").distinct())
-    tried = saved(links.groupBy("doc").agg(F.min("rep").alias("rep")))
+    tried = saved(members.where("doc > rep").groupBy("doc").agg(F.min("rep").alias("rep")))
     sure = saved(_verified(tried, texts, logs, s))
-    classes = saved(components(sure))
-    rest = saved(_apart(links.join(tried, ["doc", "rep"], "left_anti"), classes))
-    while not rest.isEmpty():
-        more = saved(_verified(rest, texts, logs, s))
-        tried = saved(tried.unionByName(rest))
-        if not more.isEmpty():
-            sure = saved(sure.unionByName(more))
-            classes = saved(components(sure))
-        # Members apart from their bucket's smallest choose a smallest of their own.
-        left = _apart(members.where("doc > rep"), classes)
-        again = left.groupBy("key").agg(F.min("doc").alias("rep"), F.max("doc").alias("most")).where("rep < most").drop("most")
-        members = saved(left.drop("rep").join(again, "key"))
-        links = members.where("doc > rep").select("doc", "rep").distinct()
-        rest = saved(_apart(links.join(tried, ["doc", "rep"], "left_anti"), classes))
+    opened = saved(_open_buckets(members, tried, components(sure)))
+    more = saved(_compared(opened, texts, logs, s))
+    classes = components(sure.unionByName(more))
 
     named = firsts.join(classes, "node", "left").select(F.col("digest").alias("d"), F.coalesce("component", "node").alias("class"))
     by_row = signed.join(named, (F.col("digest") == F.col("d")) & F.col("keys").isNotNull() & F.col("doc_id").isNotNull(), "left")
