@@ -49,7 +49,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .common import filled_text, saved
+from .common import filled_text, private, saved
 from .components import components
 from .shingles import document_shingles, mix, sliced
 
@@ -336,6 +336,7 @@ def near_duplicate_classes(docs: DataFrame, s: Sampling = Sampling()) -> DataFra
 
 
 def representatives(docs: DataFrame, s: Sampling = Sampling()) -> DataFrame:
-    """The rows of docs whose document is the smallest of its class, each once, and all rows without an id."""
-    gone = near_duplicate_classes(docs, s).groupBy("doc_id").agg(F.min("class_id").alias("c")).where("doc_id <> c").select(F.col("doc_id").alias("__gone"))
-    return docs.join(saved(gone), F.col("doc_id") == F.col("__gone"), "left_anti")
+    """The rows of docs whose document is the smallest of its class, and all rows without an id."""
+    gone, = private(docs, "gone")
+    lost = near_duplicate_classes(docs, s).groupBy("doc_id").agg(F.min("class_id").alias("c")).where("doc_id <> c")
+    return docs.join(saved(lost.select(F.col("doc_id").alias(gone))), F.col("doc_id") == F.col(gone), "left_anti")

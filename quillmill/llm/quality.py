@@ -65,21 +65,32 @@ def _repeat_words(words: str, keys: str) -> Column:
           a -> a.n) END""")
 
 
+def _once(df: DataFrame, columns: dict[str, Column]) -> DataFrame:
+    """df with more columns, each evaluated once a row.
+
+    A generator stands between them and what follows: filters on the columns would
+    otherwise be pushed below and evaluate them again, inside of each other.
+    """
+    return df.select("*", F.inline(F.array(F.struct(*(v.alias(k) for k, v in columns.items())))))
+
+
 def with_measures(df: DataFrame, text: str = "text") -> tuple[DataFrame, dict[str, str]]:
     """df with the measures as extra columns, and the measures' column names."""
     names = ("t", "words", "keys", "lines", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_upper", "n_lines")
     at = dict(zip(names, private(df, *names), strict=True))
     c = {k: f"`{v}`" for k, v in at.items()}
     count = lambda pattern: F.length(F.regexp_replace(F.col(at["t"]), pattern, "")).cast("long")
-    df = df.withColumn(at["t"], F.coalesce(F.col(text).cast("string"), F.lit("")))
-    df = df.withColumn(at["words"], F.expr(f"filter(split({c['t']}, '[{_SPACE}]+'), w -> w <> '')".replace("\\", "\\\\")))
-    df = df.withColumns(
+    df = _once(df, {at["t"]: F.coalesce(F.col(text).cast("string"), F.lit(""))})
+    df = _once(
+        df,
         {
-            at["keys"]: F.expr(f"CASE WHEN size({c['words']}) < 3 THEN array() ELSE transform(sequence(0, size({c['words']}) - 3), i -> xxhash64({c['words']}[i], {c['words']}[i + 1], {c['words']}[i + 2])) END"),
+            at["words"]: F.expr(f"filter(split({c['t']}, '[{_SPACE}]+'), w -> w <> '')".replace("\\", "\\\\")),
             at["lines"]: F.expr(f"filter(split({c['t']}, '\\n'), l -> l rlike '[^{_SPACE}]')".replace("\\x", "\\\\x")),
-        }
+        },
     )
-    df = df.withColumns(
+    df = _once(df, {at["keys"]: F.expr(f"CASE WHEN size({c['words']}) < 3 THEN array() ELSE transform(sequence(0, size({c['words']}) - 3), i -> xxhash64({c['words']}[i], {c['words']}[i + 1], {c['words']}[i + 2])) END")})
+    df = _once(
+        df,
         {
             at["n_words"]: F.size(at["words"]).cast("long"),
             at["word_chars"]: F.length(at["t"]) - count(f"[^{_SPACE}]+"),
@@ -88,7 +99,7 @@ def with_measures(df: DataFrame, text: str = "text") -> tuple[DataFrame, dict[st
             at["n_lines"]: F.size(at["lines"]).cast("long"),
             at["n_dup_lines"]: (F.size(at["lines"]) - F.size(F.array_distinct(at["lines"]))).cast("long"),
             at["n_repeat_words"]: _repeat_words(c["words"], c["keys"]),
-        }
+        },
     )
     return df.drop(at["t"], at["words"], at["keys"], at["lines"]), {k: at[k] for k in names[4:]}
 
@@ -106,32 +117,38 @@ def scores(m: dict[str, str]) -> dict[str, Column]:
 
 def certified_cutoffs(measured: DataFrame, m: dict[str, str], stratum: str, doc_id: str, labels: DataFrame, config: RiskConfig = RiskConfig()) -> DataFrame:
     """Rows (stratum, rule, cutoff, n, rejected, p_value) of the strictest certified cutoffs."""
-    good = labels.where("doc_id IS NOT NULL AND quality IS NOT NULL").groupBy(F.col("doc_id").alias("__label_id")).agg(F.min("quality").alias("__quality")).where("__quality = 1")
-    held = measured.where(~base_failed(m)).select(F.col(doc_id).alias("__doc"), F.col(stratum).alias("stratum"), *(v.alias(f"__s_{k}") for k, v in scores(m).items()))
-    held = held.join(good, F.col("__doc") == F.col("__label_id"), "inner")
+    held = measured.where(~base_failed(m)).select(F.col(f"`{doc_id}`").alias("__doc"), F.col(stratum).alias("stratum"), *(v.alias(f"__s_{k}") for k, v in scores(m).items()))
+    held = held.join(_good(labels), F.col("__doc") == F.col("__label_id"), "inner")
     sums = [F.sum(F.when(F.col(f"__s_{r}") > c, 1).otherwise(0)).alias(f"__k_{r}_{j}") for r, cs in config.ladders.items() for j, c in enumerate(cs)]
-    counts = held.groupBy("stratum").agg(F.count("*").alias("n"), *sums)
+    counts = saved(held.groupBy("stratum").agg(F.count("*").alias("n"), *sums))  # a row per stratum
     cells = F.array(*(F.struct(F.lit(r).alias("rule"), F.lit(j).alias("step"), F.lit(float(c)).alias("cutoff"), F.col(f"__k_{r}_{j}").alias("rejected")) for r, cs in config.ladders.items() for j, c in enumerate(cs)))
-    a, rules = config.alpha / len(config.ladders), len(config.ladders)
-    strata = counts.groupBy().agg(F.count("*").alias("__strata"))
+    a, ladders = config.alpha / len(config.ladders), len(config.ladders) * max(1, counts.count())
     p = F.expr(f"""CASE WHEN rejected >= n * {a}D THEN 1D ELSE aggregate(sequence(0L, rejected), named_struct('lt', n * ln(1D - {a}D), 's', 0D),
         (acc, i) -> named_struct('lt', acc.lt + ln((n - i) / (i + 1)) + ln({a}D / (1D - {a}D)), 's', acc.s + exp(acc.lt)), acc -> acc.s) END""")
-    tested = counts.select("stratum", "n", F.inline(cells)).withColumn("p_value", p).crossJoin(strata)
-    passed = tested.where(F.col("p_value") <= F.lit(config.delta) / (F.col("__strata") * rules))
+    tested = counts.select("stratum", "n", F.inline(cells)).withColumn("p_value", p)
+    passed = tested.where(F.col("p_value") <= config.delta / ladders)
     return passed.groupBy("stratum", "rule").agg(F.max_by(F.struct("cutoff", "n", "rejected", "p_value"), "step").alias("best")).select("stratum", "rule", "best.*")
 
 
-def _wide(cutoffs: DataFrame, config: RiskConfig) -> DataFrame:
-    wide = saved(cutoffs.groupBy(F.col("stratum").alias("__stratum")).agg(*(F.max(F.when(F.col("rule") == r, F.col("cutoff"))).alias(f"__cut_{r}") for r in config.ladders)))
+def _good(labels: DataFrame) -> DataFrame:
+    """Ids of the documents that the labels call good."""
+    known = labels.where("doc_id IS NOT NULL AND quality IS NOT NULL")
+    return known.groupBy(F.col("doc_id").alias("__label_id")).agg(F.min("quality").alias("__quality")).where("__quality = 1").select("__label_id")
+
+
+def _wide(cutoffs: DataFrame, names: dict[str, str], config: RiskConfig) -> DataFrame:
+    cut = [F.max(F.when(F.col("rule") == r, F.col("cutoff"))).alias(names[r]) for r in config.ladders]
+    wide = saved(cutoffs.groupBy(F.col("stratum").alias(names["stratum"])).agg(*cut))
     return F.broadcast(wide) if wide.count() <= config.most_strata else wide
 
 
 def judged(measured: DataFrame, m: dict[str, str], stratum: str, cutoffs: DataFrame, config: RiskConfig = RiskConfig()) -> tuple[DataFrame, Column]:
     """measured beside its stratum's cutoffs, and the verdict as a column."""
-    joined = measured.join(_wide(cutoffs, config), F.col(stratum) == F.col("__stratum"), "left")
+    names = dict(zip(["stratum", *config.ladders], private(measured, "cut_stratum", *(f"cut_{r}" for r in config.ladders)), strict=True))
+    joined = measured.join(_wide(cutoffs, names, config), F.col(stratum) == F.col(names["stratum"]), "left")
     rejected = F.lit(False)
     for r, s in scores(m).items():
-        rejected = rejected | F.coalesce(s > F.col(f"__cut_{r}"), F.lit(False))
+        rejected = rejected | F.coalesce(s > F.col(names[r]), F.lit(False))
     return joined, ~(base_failed(m) | rejected)
 
 
@@ -146,8 +163,16 @@ def quality_verdicts(docs: DataFrame, labels: DataFrame, config: RiskConfig = Ri
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, config: RiskConfig = RiskConfig()) -> DataFrame:
-    """The rows of docs that the rules keep, with their columns as they were."""
+    """The rows of docs that the rules keep, with their columns as they were.
+
+    The cutoffs are learned from the labelled rows alone, so the long texts are
+    measured once where they stand and never move.
+    """
+    of_lang = F.coalesce(F.col("lang").cast("string"), F.lit("und"))
+    held = docs.select("doc_id", "text", of_lang.alias("stratum")).join(_good(labels), F.col("doc_id") == F.col("__label_id"), "left_semi")
+    known, m = with_measures(held)
+    cutoffs = certified_cutoffs(known, m, "stratum", "doc_id", labels, config)
     stratum, = private(docs, "stratum")
-    measured, m = with_measures(docs.withColumn(stratum, F.coalesce(F.col("lang").cast("string"), F.lit("und"))))
-    joined, kept = judged(measured, m, stratum, certified_cutoffs(measured, m, stratum, "doc_id", labels, config), config)
+    measured, m = with_measures(docs.withColumn(stratum, of_lang))
+    joined, kept = judged(measured, m, stratum, cutoffs, config)
     return joined.where(kept).select(*(F.col(f"`{c}`") for c in docs.columns))

@@ -6,13 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from . import annsearch, bpe, chunkdedup, langid, linededup, neardup, packing, quality, secrets, warc
 from .common import table
-
-
-def vocabulary() -> tuple[str, str]:
-    """Rank file and split pattern of the byte-level vocabulary; its ids are those of the JSON file of the same name."""
-    import public_tokenizers
-
-    return public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
+from .vocabularies import byte_level
 
 
 def op1_language_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -36,7 +30,7 @@ def op5_cross_polytope(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_tree_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return bpe.round_trip_digests(table(spark, sf_dir, "documents"), *vocabulary())
+    return bpe.round_trip_digests(table(spark, sf_dir, "documents"), *byte_level())
 
 
 def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -44,7 +38,7 @@ def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return packing.best_fit_sequences(table(spark, sf_dir, "documents"), vocabulary())
+    return packing.best_fit_sequences(table(spark, sf_dir, "documents"), byte_level())
 
 
 def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -55,5 +49,11 @@ def op10_warc_revisits(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.archive_round_trip(table(spark, sf_dir, "pages"))
 
 
-QUERIES = {f.__name__: f for f in (op1_language_mixture, op2_weighted_minhash, op3_chunk_dedup, op4_secret_scan, op5_cross_polytope, op6_tree_bpe, op7_line_dedup, op8_best_fit_packing, op9_quality_rules, op10_warc_revisits)}
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
+QUERIES = {f.__name__: f for f in (op1_language_mixture, op2_weighted_minhash, op3_chunk_dedup, op4_secret_scan, op5_cross_polytope, op6_tree_bpe, op7_line_dedup, op8_best_fit_packing, op9_quality_rules, op10_warc_revisits, pipeline)}
 ORACLES: dict[str, str] = {}

@@ -48,7 +48,7 @@ BASE_RULES = (
     Rule("hex", r"[0-9a-f]{24,}", "[0-9a-f]{24}", re.ASCII, 0, 24, True),  # a run of 24 or more is the whole run
 )
 MORE_RULES = (
-    Rule("pem", r"-----BEGIN [A-Z ]{0,20}PRIVATE KEY-----[A-Za-z0-9+/=\s]+(?:-----END [A-Z ]{0,20}PRIVATE KEY-----)?", "PRIVATE KEY-----"),
+    Rule("pem", r"-----BEGIN [A-Z ]{0,20}PRIVATE KEY-----(?:\s+[A-Za-z0-9+/=]{16,76})*(?:\s+[A-Za-z0-9+/=]{1,76}\s+-----END [A-Z ]{0,20}PRIVATE KEY-----)?", "PRIVATE KEY-----"),
     Rule("forge", r"\bgh[pousr]_[A-Za-z0-9]{36,255}\b", "gh[pousr]_"),
     Rule("jwt", r"\beyJ[A-Za-z0-9_-]{10,}\.eyJ[A-Za-z0-9_-]{10,}\.[A-Za-z0-9_-]{10,}", "eyJ"),
     Rule("bearer", r"\b[Bb]earer [A-Za-z0-9._~+/-]{20,}=*", "[Bb]earer "),
@@ -143,7 +143,8 @@ def redact(docs: DataFrame, ledger: DataFrame | None = None, rules: tuple[Rule,
 
     Overlapping spans merge under the kind of the first. Texts that no rule can
     match don't move and are passed on as they are, null included; the others
-    meet their blob's findings in the ledger's fresh and old rows.
+    meet their blob's findings in the ledger's fresh and old rows. n_chars, if there,
+    follows.
     """
     columns = docs.columns
     blob, known_blob, found = private(docs, "blob", "known_blob", "found")
@@ -169,4 +170,6 @@ def redact(docs: DataFrame, ledger: DataFrame | None = None, rules: tuple[Rule,
             yield b.select([c for c in b.schema.names if c != found])
 
     changed = moved.mapInArrow(cut, docs.schema)
+    if "n_chars" in columns:
+        changed = changed.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
     return docs.where(~suspect).unionByName(changed).select(*(F.col(f"`{c}`") for c in columns))
