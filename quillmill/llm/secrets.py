@@ -127,8 +127,9 @@ def secret_report(docs: DataFrame, ledger: DataFrame | None = None, rules: tuple
     found = findings(docs, book, rules)
     kinds = F.array(*(F.lit(r.kind) for r in rules))
     joined = lambda spans: F.array_join(F.transform(spans, lambda s: F.concat_ws(":", F.element_at(kinds, s["kind"] + 1), s["start"], s["stop"])), ",")
+    of_kind = lambda k: lambda s: s["kind"] == k
     base = [k for k, r in enumerate(rules) if r.base]
-    counts = [F.size(F.filter("found", lambda s, k=k: s["kind"] == k)).cast("long").alias(f"n_{rules[k].kind}") for k in base]
+    counts = [F.size(F.filter("found", of_kind(k))).cast("long").alias(f"n_{rules[k].kind}") for k in base]
     return found.select(
         F.col("path").alias("doc_id"),
         *counts,
