@@ -1,4 +1,396 @@
-"""Queries over the driver's tables and their SQL twins."""
+"""The registered queries, by name. Their SQL is in ``oracles``."""
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession, functions as F
+
+from ..functions import constants as K, text as T, tokenizers
+from ..functions.columns import once, rounded
+from ..operators import algebra, burrows, chunking, classifier, dataset, evalset, generation, ingest, profile, registers
+from . import views
+from .oracles import ORACLES  # noqa: F401
+from .views import table
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+
+
+def query(f):
+    QUERIES[f.__name__] = f
+    return f
+
+
+def _stats(spark, sf_dir):
+    return profile.chapter_stats(views.chapters(spark, sf_dir), paragraph=r"\n")
+
+
+@query
+def chapter_stats(spark, sf_dir):
+    """A1: the counters of every chapter."""
+    return _stats(spark, sf_dir).select("doc_id", *profile.COUNTERS, F.array_join("para_sentence_counts", ",").alias("para_sentence_counts"))
+
+
+@query
+def author_profile(spark, sf_dir):
+    """The style profile of every author."""
+    return profile.author_profile(_stats(spark, sf_dir))
+
+
+@query
+def word_stats_by_author(spark, sf_dir):
+    df = once(views.chapters(spark, sf_dir), w=T.words(F.col("text")))
+    df = df.select("author", F.size("w").alias("n"), F.aggregate("w", F.lit(0), lambda a, x: a + F.length(x)).alias("chars"))
+    return df.groupBy("author").agg(F.count("*").alias("chapters"), F.sum("n").alias("words"), (F.sum("chars") / F.greatest(F.sum("n"), F.lit(1))).alias("mean_word_length"))
+
+
+@query
+def distinguishing_bigrams(spark, sf_dir):
+    """Each author's bigrams that others use much less."""
+    out = profile.distinguishing_bigrams(profile.bigram_counts(views.chapters(spark, sf_dir)))
+    return out.select("author", "place", "bigram", *(rounded(F.col(c), 9).alias(c) for c in ("my_rate", "other_rate", "ratio")))
+
+
+def _quartiles(spark, sf_dir):
+    return registers.axis_quartiles(profile.author_profile(_stats(spark, sf_dir)), views.dimension(spark, sf_dir))
+
+
+@query
+def register_axis_quartiles(spark, sf_dir):
+    """A7, J12."""
+    return _quartiles(spark, sf_dir)
+
+
+@query
+def register_separation(spark, sf_dir):
+    """Whether the axes tell each register from the others."""
+    out = registers.separation(_quartiles(spark, sf_dir))
+    return out.select("register", "n_strong", "n_extreme", F.array_join("strong", ",").alias("strong"), F.array_join("extreme", ",").alias("extreme"), "valid")
+
+
+class _Burrows:
+    def __init__(self, spark, sf_dir, top=150):
+        docs = views.chapters(spark, sf_dir)
+        self.counts = burrows.word_counts(docs)
+        self.words = burrows.frequent_words(self.counts, top)
+        self.freqs = burrows.relative_frequencies(self.counts, self.words)
+        self.n = burrows.chapter_count(self.counts)
+        self.scaled = burrows.scale(self.freqs, self.words, self.n)
+        ids = self.counts.select("doc_id").distinct().join(docs.select("doc_id", "register"), "doc_id")
+        self.vectors = burrows.chapter_vectors(self.freqs, self.scaled, ids)
+        self.centres = burrows.centroids(self.vectors)
+
+
+@query
+def frequent_words(spark, sf_dir):
+    """The 150 most frequent words."""
+    return _Burrows(spark, sf_dir).words
+
+
+@query
+def word_scale(spark, sf_dir):
+    """Mean and deviation of the frequent words' relative frequencies."""
+    return _Burrows(spark, sf_dir).scaled.select("word", rounded(F.col("mu"), 9).alias("mu"), rounded(F.col("sigma"), 9).alias("sigma"))
+
+
+@query
+def register_centroids(spark, sf_dir):
+    """A14, A15."""
+    b = _Burrows(spark, sf_dir)
+    ordered = b.words.agg(F.sort_array(F.collect_list("word")).alias("w"))
+    df = b.centres.select("register", "n", F.posexplode("z").alias("at", "z")).withColumn("w", ordered.scalar())
+    return df.select("register", "n", F.element_at("w", F.col("at") + 1).alias("word"), rounded(F.col("z")).alias("z"))
+
+
+@query
+def pairwise_delta(spark, sf_dir):
+    """A16, J10."""
+    return burrows.pairwise_delta(_Burrows(spark, sf_dir).centres).withColumn("delta", rounded(F.col("delta")))
+
+
+@query
+def register_cohesion(spark, sf_dir):
+    """A17, J9."""
+    b = _Burrows(spark, sf_dir)
+    return burrows.cohesion(b.vectors, b.centres).withColumn("delta", rounded(F.col("delta")))
+
+
+@query
+def nearest_register(spark, sf_dir):
+    """The register that each chapter is nearest to."""
+    b = _Burrows(spark, sf_dir)
+    return burrows.nearest_register(b.vectors, b.centres).select("doc_id", "nearest", rounded(F.col("delta")).alias("delta"))
+
+
+@query
+def greedy_chunks(spark, sf_dir):
+    """Paragraphs packed into chunks."""
+    return views.chunks(spark, sf_dir).select("path", "chunk_idx", "n_paragraphs", "n_tokens", "is_chapter_end", F.md5(F.col("text").cast("binary")).alias("text_md5"))
+
+
+@query
+def document_chunks(spark, sf_dir):
+    """Chunks by a pluggable tokenizer, long paragraphs and sentences included."""
+    out = chunking.chunk_documents(views.chapters(spark, sf_dir), tokenizers.WordTokenizer(), views.CHUNK_TOKENS, between=r"\n")
+    return out.select("doc_id", "chunk_idx", "n_tokens", "is_chapter_end", F.md5(F.array_join("input_ids", ",").cast("binary")).alias("ids_md5"))
+
+
+@query
+def chunks_join_briefs(spark, sf_dir):
+    """Chunks with their extractive briefs."""
+    chunks = views.chunks(spark, sf_dir)
+    return dataset.with_briefs(chunks.select("path", "chunk_idx", "n_tokens"), views.briefs(chunks)).select("path", "chunk_idx", "n_tokens", "author", "register", "brief")
+
+
+@query
+def chunks_to_do(spark, sf_dir):
+    """Chunks that have no brief yet, by author."""
+    chunks = views.chunks(spark, sf_dir)
+    return dataset.without_briefs(chunks, views.briefs(chunks)).groupBy("author").agg(F.count("*").alias("n"), F.sum("n_tokens").alias("tokens"))
+
+
+def _split(spark, sf_dir):
+    chunks = views.chunks(spark, sf_dir)
+    return evalset.replayed_split(chunks.select("path", "chunk_idx", "n_tokens", "text"), views.briefs(chunks))
+
+
+@query
+def stratified_split(spark, sf_dir):
+    """Capped and split chunks."""
+    return _split(spark, sf_dir).select("path", "chunk_idx", "author", F.col("split").cast("int").alias("split"))
+
+
+@query
+def split_tally(spark, sf_dir):
+    """Rows per author and split with a total."""
+    return dataset.split_tally(_split(spark, sf_dir))
+
+
+@query
+def author_vocabulary(spark, sf_dir):
+    """F13."""
+    rows = _split(spark, sf_dir).withColumn("first_seen", F.col("path"))
+    return dataset.author_vocabulary(rows).withColumn("author_id", F.col("author_id").cast("int"))
+
+
+def _packed(spark, sf_dir):
+    rows = dataset.with_prompts(_split(spark, sf_dir), views.dimension(spark, sf_dir))
+    rows = once(rows, prompt_ids=tokenizers.token_ids(F.col("prompt")), chunk_ids=tokenizers.token_ids(F.col("text")))
+    return dataset.packed_rows(rows.drop("n_tokens"), length=views.PACKED_LENGTH)
+
+
+@query
+def packed_rows(spark, sf_dir):
+    """Prompts and chunks packed to one length, with labels."""
+    rows = dataset.with_labels(_packed(spark, sf_dir))
+    digest = lambda c: F.md5(F.array_join(c, ",").cast("binary"))
+    return rows.select("path", "chunk_idx", F.col("split").cast("int").alias("split"), F.col("prompt_length").cast("int").alias("prompt_length"), F.col("n_tokens").cast("int").alias("n_tokens"), "was_cut", digest("input_ids").alias("ids_md5"), digest("labels").alias("labels_md5"))
+
+
+@query
+def split_replay_check(spark, sf_dir):
+    """The replayed split against the stored one, by register."""
+    return evalset.split_differences(_split(spark, sf_dir), _split(spark, sf_dir)).select("register", "train", "val", "test", "same")
+
+
+def _pool(spark, sf_dir):
+    chunks = views.chunks(spark, sf_dir)
+    split = evalset.replayed_split(chunks.select("path", "chunk_idx"), views.briefs(chunks))
+    return evalset.judged_briefs(evalset.test_briefs(views.briefs(chunks), split))
+
+
+@query
+def eval_brief_attrition(spark, sf_dir):
+    """F3, F4, F9, J6, A26."""
+    return evalset.attrition(_pool(spark, sf_dir))
+
+
+@query
+def eval_sample(spark, sf_dir):
+    """W8, X29."""
+    return evalset.sampled(_pool(spark, sf_dir).where("reason = 'kept'")).select("brief_id", "brief_key", "register", "place", "brief")
+
+
+@query
+def instruction_probe(spark, sf_dir):
+    """W9, J16, X30, U4."""
+    kept = _pool(spark, sf_dir).where("reason = 'kept'")
+    return evalset.instruction_probe(kept, evalset.constraints(spark)).select("brief_id", "constraint_id", "path", "chunk_idx", "brief")
+
+
+@query
+def constraint_checks(spark, sf_dir):
+    """How many documents keep each constraint that can be told from a text."""
+    docs = table(spark, sf_dir, "documents").select("text")
+    checked = docs.select("text", F.explode(F.array(*(F.lit(i) for i, _ in K.CONSTRAINTS))).alias("constraint_id"))
+    return checked.withColumn("ok", evalset.checks_constraint()).groupBy("constraint_id").agg(F.count("ok").alias("checked"), F.count_if("ok").alias("kept"))
+
+
+@query
+def word_window_split(spark, sf_dir):
+    """Windows and chapters per register and side."""
+    rows = classifier.group_split(classifier.word_windows(views.chapters(spark, sf_dir), 100))
+    return rows.groupBy("register", "is_test").agg(F.count("*").alias("windows"), F.countDistinct("doc_id").alias("chapters"), F.sum(F.length("window")).alias("chars"))
+
+
+def _grams(spark, sf_dir):
+    rows = classifier.word_windows(views.chapters(spark, sf_dir), 100).withColumn("key", F.concat_ws("/", "doc_id", "win_idx"))
+    counts = classifier.grams(rows, "key")
+    return rows, counts, classifier.vocabulary(counts, rows.agg(F.count("*").alias("n")), 2000)
+
+
+@query
+def tfidf_terms(spark, sf_dir):
+    """M1: the vocabulary with document frequencies."""
+    return _grams(spark, sf_dir)[2].select("term", "df", "total", rounded(F.col("idf")).alias("idf"))
+
+
+@query
+def tfidf_weights(spark, sf_dir):
+    """M1: sublinear tf-idf of unit length, summed up per window."""
+    _, counts, terms = _grams(spark, sf_dir)
+    return classifier.tf_idf(counts, terms, "key").groupBy("key").agg(F.count("*").alias("n"), F.round(F.sum("weight"), 5).alias("total"))
+
+
+@query
+def style_classifier(spark, sf_dir):
+    """A classifier of languages by tf-idf of word windows, reported on held-out chapters."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", F.col("lang").alias("label"))
+    rows = classifier.group_split(classifier.word_windows(docs, 100)).withColumn("key", F.concat_ws("/", "doc_id", "win_idx"))
+    train = rows.where("NOT is_test")
+    terms = classifier.vocabulary(classifier.grams(train, "key"), train.agg(F.count("*").alias("n")), 2000).cache()
+    features = classifier.vectors(classifier.tf_idf(classifier.grams(rows, "key"), terms, "key"), terms, "key")
+    named = features.join(rows.select("key", "label", "is_test"), "key").cache()
+    fitted = classifier.train(named.where("NOT is_test").select("label", "features"), steps=30)
+    report = classifier.class_report(fitted.transform(named.where("is_test")))
+    return report.select("class", "support", *(rounded(F.col(c), 3).alias(c) for c in ("precision", "recall", "f1")))
+
+
+def _predictions(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select("doc_id", F.length("text").alias("n"))
+    rows = table(spark, sf_dir, "labels").join(docs, "doc_id")
+    return rows.select(F.col("quality").cast("string").alias("label"), F.when(F.col("n") >= 400, "1").otherwise("0").alias("predicted"))
+
+
+@query
+def confusion_matrix(spark, sf_dir):
+    """A23."""
+    return classifier.confusion(_predictions(spark, sf_dir))
+
+
+@query
+def class_report(spark, sf_dir):
+    """A24."""
+    out = classifier.class_report(_predictions(spark, sf_dir))
+    return out.select("class", "support", *(rounded(F.col(c)).alias(c) for c in ("precision", "recall", "f1")))
+
+
+@query
+def catalog_matches(spark, sf_dir):
+    """Works in the catalog by author."""
+    authors = registers.author_dimension(registers.registers(spark))
+    works = ingest.author_works(ingest.catalog_works(views.catalog(spark, sf_dir)), authors)
+    return works.groupBy("author").agg(F.count("*").alias("n"), F.min("pg_id").alias("first_id"))
+
+
+@query
+def ingested_works(spark, sf_dir):
+    """Each author's first thirty works, without repeats of a slug."""
+    authors = registers.author_dimension(registers.registers(spark))
+    works = ingest.author_works(ingest.catalog_works(views.catalog(spark, sf_dir)), authors)
+    fresh = ingest.first_works(ingest.new_works(ingest.first_works(works, 30)), 10)
+    return fresh.select("author", "author_slug", "work_slug", "work_title", "pg_id")
+
+
+@query
+def chapter_split(spark, sf_dir):
+    """Chapters of works between markers."""
+    works = views.works(spark, sf_dir).withColumn("text", T.without_markers(F.col("text")))
+    return ingest.chapters(works).select("work", "chapter_num", T.space_words(F.col("body")).alias("words"), F.length("body").alias("chars"), F.md5(F.col("body").cast("binary")).alias("body_md5"))
+
+
+@query
+def manifest_tally(spark, sf_dir):
+    """Chapters and words by register with a total."""
+    works = views.works(spark, sf_dir).withColumn("text", T.without_markers(F.col("text")))
+    names = F.array(*(F.lit(r[0]) for r in K.REGISTERS))
+    works = works.select("text", F.concat(F.lit("author "), (F.col("work") % 7).cast("string")).alias("author"), F.element_at(names, (F.col("work") % 5 + 1).cast("int")).alias("cluster"), F.concat(F.lit("Work "), F.col("work").cast("string")).alias("work_title"), F.col("work").cast("string").alias("pg_id"))
+    works = works.withColumns({"author_slug": T.slug(F.col("author")), "work_slug": T.slug(F.col("work_title"))})
+    return ingest.manifest_tally(ingest.manifest(ingest.chapters(works)))
+
+
+@query
+def prose_titles(spark, sf_dir):
+    """Documents whose first line isn't a title of verse, at most fifty of each source."""
+    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("path"), F.col("source").alias("author"), F.lit("w").alias("work_slug"), F.col("doc_id").alias("chapter_num"), T.first_line(F.col("text")).alias("work_title"))
+    return ingest.brief_sources(docs).select("path", "author")
+
+
+@query
+def conversation_responses(spark, sf_dir):
+    """Prompts of user turns, and the answer cut out of the whole."""
+    turns = table(spark, sf_dir, "conversations").where("role = 'user'")
+    whole = F.concat(T.prompt(F.lit("Plain realism"), F.col("text")), F.lit(" reply to "), F.col("text"))
+    return turns.select("conv_id", "turn", F.md5(T.prompt(F.lit("Plain realism"), F.col("text")).cast("binary")).alias("prompt_md5"), F.md5(T.baseline_prompt(F.lit(None).cast("string"), F.col("text")).cast("binary")).alias("baseline_md5"), F.md5(T.response(whole).cast("binary")).alias("response_md5"))
+
+
+@query
+def brief_requests(spark, sf_dir):
+    """Instruction and preview of every document, and the cleaned first line."""
+    docs = table(spark, sf_dir, "documents")
+    return docs.select("doc_id", F.md5(T.brief_request(F.col("text")).cast("binary")).alias("request_md5"), T.clean_brief(F.col("text")).alias("brief"))
+
+
+@query
+def text_scalars(spark, sf_dir):
+    """X1, X6, X11, X14, X15, X18, X33, X36 on every document."""
+    t = F.col("text")
+    docs = table(spark, sf_dir, "documents")
+    return docs.select("doc_id", T.slug(F.left(t, F.lit(60))).alias("slug"), T.space_words(t).alias("words"), T.adverbs(t).alias("adverbs"), T.nominalizations(t).alias("nominalizations"), T.occurrences(t, ",").cast("int").alias("commas"), F.length(T.unwrapped(t)).alias("chars"), F.size(T.paragraphs(t, r"\n")).alias("paragraphs"))
+
+
+@query
+def adapter_choice(spark, sf_dir):
+    """The adapter of each language, where documents stand for checkpoints."""
+    name = F.when((F.col("lang") == "fr") & (F.col("n_chars") > 20000), "final").otherwise(F.concat(F.lit("checkpoint-"), F.col("n_chars").cast("string")))
+    paths = table(spark, sf_dir, "documents").select(F.col("lang").alias("register"), F.concat(F.lit("adapters\\"), F.col("lang"), F.lit("\\"), name).alias("path"))
+    return generation.chosen_adapter(paths)
+
+
+@query
+def projection(spark, sf_dir):
+    """M5: embeddings without their part along the diagonal."""
+    import numpy as np
+
+    rows = table(spark, sf_dir, "embeddings")
+    out = rows.select("vec_id", algebra.projected(F.col("embedding"), np.full((64, 1), 1 / 8)).alias("p"))
+    return out.select("vec_id", F.round(F.aggregate("p", F.lit(0.0), lambda s, x: s + x * x), 6).alias("square"), F.round(F.element_at("p", 1), 6).alias("first"))
+
+
+@query
+def top_directions(spark, sf_dir):
+    """M4: embeddings without their eight strongest directions."""
+    rows = table(spark, sf_dir, "embeddings")
+    out = rows.select("vec_id", algebra.projected(F.col("embedding"), algebra.top_directions(rows, 8)).alias("p"))
+    return out.select("vec_id", F.round(F.aggregate("p", F.lit(0.0), lambda s, x: s + x * x), 6).alias("square"))
+
+
+@query
+def label_centroids(spark, sf_dir):
+    """A15, A18 on vectors: nearest centroid by mean absolute difference."""
+    rows = table(spark, sf_dir, "embeddings").select("vec_id", F.col("label").cast("string").alias("register"), F.col("embedding").cast("array<double>").alias("z"))
+    return burrows.nearest_register(rows, burrows.centroids(rows), "vec_id").select("vec_id", "nearest", rounded(F.col("delta")).alias("delta"))
+
+
+@query
+def parameter_tally(spark, sf_dir):
+    """Trainable share, where parts stand for parameters."""
+    parts = table(spark, sf_dir, "part").select(F.col("p_name").alias("name"), F.col("p_size").alias("size"), (F.col("p_type") == "ECONOMY").alias("trainable"))
+    return algebra.parameter_share(parts)
+
+
+@query
+def event_windows(spark, sf_dir):
+    """The batch form of the streaming counts."""
+    events = table(spark, sf_dir, "events")
+    return events.groupBy(F.window("ts", "1 hour").alias("w"), "event_type").agg(F.count("*").alias("n")).select(F.col("w.start").alias("start"), "event_type", "n")
