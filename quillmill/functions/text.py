@@ -8,6 +8,7 @@ import unicodedata
 
 import pandas as pd
 from pyspark.sql import Column, functions as F
+from pyspark.sql.types import StringType
 
 from . import constants as K
 
@@ -50,7 +51,7 @@ def name_contains(field: Column, needle: Column) -> Column:
     return F.contains(F.collate(field, "UNICODE_CI_AI"), F.collate(needle, "UNICODE_CI_AI"))
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def _unaccented(s: pd.Series) -> pd.Series:
     def one(t):
         return None if t is None else "".join(x for x in unicodedata.normalize("NFD", t) if unicodedata.category(x) != "Mn").lower()
