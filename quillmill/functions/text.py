@@ -110,8 +110,7 @@ def has_speech(paragraph: Column) -> Column:
 
 
 def function_words(lower_words: Column) -> Column:
-    known = F.array(*map(F.lit, K.FUNCTION_WORDS))
-    return F.size(F.filter(lower_words, lambda w: F.array_contains(known, w)))
+    return F.size(F.filter(lower_words, lambda w: w.isin(K.FUNCTION_WORDS)))
 
 
 def occurrences(c: Column, what: str) -> Column:

@@ -60,12 +60,11 @@ def separation(quartiles_: DataFrame) -> DataFrame:
     An axis separates a register strongly if its interquartile range meets no
     other register's, and extremely if its median is the least or the largest.
     """
-    a, b = quartiles_.alias("a"), quartiles_.alias("b")
-    meets = (F.col("a.axis") == F.col("b.axis")) & (F.col("a.register") != F.col("b.register")) & overlaps(F.col("a.q1"), F.col("a.q3"), F.col("b.q1"), F.col("b.q3"))
-    strong = a.join(b, meets, "left_anti").select("register", "axis", F.lit(True).alias("is_strong"))
-    by_axis = Window.partitionBy("axis")
-    extreme = quartiles_.select("register", "axis", ((F.col("median") == F.min("median").over(by_axis)) | (F.col("median") == F.max("median").over(by_axis))).alias("is_extreme"))
-    named = extreme.join(strong, ["register", "axis"], "left")
+    by_axis = Window.partitionBy("axis")  # a row per register
+    every = F.collect_list(F.struct("register", "q1", "q3")).over(by_axis)
+    meets = F.exists("every", lambda o: (o["register"] != F.col("register")) & overlaps(F.col("q1"), F.col("q3"), o["q1"], o["q3"]))
+    extreme = (F.col("median") == F.min("median").over(by_axis)) | (F.col("median") == F.max("median").over(by_axis))
+    named = quartiles_.withColumns({"every": every, "is_extreme": extreme}).withColumn("is_strong", ~meets)
     lists = {k: F.sort_array(F.collect_list(F.when(F.col(f"is_{k}"), F.col("axis")))) for k in ("strong", "extreme")}
     out = named.groupBy("register").agg(*(v.alias(k) for k, v in lists.items())).select("register", *(F.size(k).alias(f"n_{k}") for k in lists), *lists)
     return out.withColumn("valid", (F.col("n_strong") >= 1) | (F.col("n_extreme") >= 2))

@@ -9,9 +9,9 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from ..functions import constants as K, text as T, tokenizers
 from ..functions.columns import once, rounded
 from ..operators import algebra, burrows, chunking, classifier, dataset, evalset, generation, ingest, profile, registers
+from ..sources.tables import table
 from . import views
 from .oracles import ORACLES  # noqa: F401
-from .views import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
@@ -22,7 +22,8 @@ def query(f):
 
 
 def _stats(spark, sf_dir):
-    return profile.chapter_stats(views.chapters(spark, sf_dir), paragraph=r"\n")
+    """The chapters' counters, kept: small beside the texts, and read more than once by most queries."""
+    return profile.chapter_stats(views.chapters(spark, sf_dir), paragraph=r"\n").persist()
 
 
 @query
@@ -47,7 +48,7 @@ def word_stats_by_author(spark, sf_dir):
 @query
 def distinguishing_bigrams(spark, sf_dir):
     """Each author's bigrams that others use much less."""
-    out = profile.distinguishing_bigrams(profile.bigram_counts(views.chapters(spark, sf_dir)))
+    out = profile.distinguishing_bigrams(profile.bigram_counts(views.chapters(spark, sf_dir)).persist())
     return out.select("author", "place", "bigram", *(rounded(F.col(c), 9).alias(c) for c in ("my_rate", "other_rate", "ratio")))
 
 
@@ -71,13 +72,13 @@ def register_separation(spark, sf_dir):
 class _Burrows:
     def __init__(self, spark, sf_dir, top=150):
         docs = views.chapters(spark, sf_dir)
-        self.counts = burrows.word_counts(docs)
+        self.counts = burrows.word_counts(docs).persist()  # five of the steps below read it
         self.words = burrows.frequent_words(self.counts, top)
         self.freqs = burrows.relative_frequencies(self.counts, self.words)
         self.n = burrows.chapter_count(self.counts)
         self.scaled = burrows.scale(self.freqs, self.words, self.n)
         ids = self.counts.select("doc_id").distinct().join(docs.select("doc_id", "register"), "doc_id")
-        self.vectors = burrows.chapter_vectors(self.freqs, self.scaled, ids)
+        self.vectors = burrows.chapter_vectors(self.freqs, self.scaled, ids).persist()
         self.centres = burrows.centroids(self.vectors)
 
 
@@ -235,7 +236,7 @@ def word_window_split(spark, sf_dir):
 
 def _grams(spark, sf_dir):
     rows = classifier.word_windows(views.chapters(spark, sf_dir), 100).withColumn("key", F.concat_ws("/", "doc_id", "win_idx"))
-    counts = classifier.grams(rows, "key")
+    counts = classifier.grams(rows, "key").persist()
     return rows, counts, classifier.vocabulary(counts, rows.agg(F.count("*").alias("n")), 2000)
 
 

@@ -11,16 +11,13 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..functions import constants as K
 from ..operators import chunking, generation
+from ..sources.tables import table
 
 CHUNK_TOKENS = 200
 PACKED_LENGTH = 256
 CATALOG_AUTHORS = ("Austen, Jane, 1775-1817", "BRONTE, EMILY", "Brontë, Charlotte, 1816-1855; Gaskell, Elizabeth Cleghorn", "Le Fanu, Joseph Sheridan, 1814-1873", "James, M. R. (Montague Rhodes)", "Twain, Mark", "Nobody, At All", "Crane, Stephen; London, Jack")
 
 
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
-
 def _of(names: tuple[str, ...], source):
     n = F.substring(source, 4, 10).cast("int")
     return F.element_at(F.array(*map(F.lit, names)), n % len(names) + 1)
