@@ -6,9 +6,7 @@ import tempfile
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+from ..sources.tables import table  # noqa: F401
 
 
 def shared_dir(spark: SparkSession) -> str:
