@@ -83,7 +83,7 @@ def packed_rows(rows: DataFrame, prompt_ids: str = "prompt_ids", chunk_ids: str
     padded with it.
     """
     ids = F.concat(prompt_ids, chunk_ids)
-    ended = F.when(F.element_at(ids, -1) == eos, ids).otherwise(F.array_append(ids, F.lit(eos)))
+    ended = F.when(F.try_element_at(ids, F.lit(-1)) == eos, ids).otherwise(F.array_append(ids, F.lit(eos)))
     df = rows.withColumn("__ids", ended)
     cut = F.size("__ids") > length
     df = df.withColumn("was_cut", cut).withColumn("__ids", F.when(cut, F.array_append(F.slice("__ids", 1, length - 1), F.lit(eos))).otherwise(F.col("__ids")))
