@@ -5,15 +5,13 @@ import sys
 from pathlib import Path
 
 import pytest
+from helpers import SMALL, TABLES
 from pyspark.sql import SparkSession
 
 ROOT = Path(__file__).resolve().parents[1]
 sys.path.insert(0, str(ROOT))
 os.environ["PYTHONPATH"] = os.pathsep.join([str(ROOT), *filter(None, [os.environ.get("PYTHONPATH", "")])])
 
-SMALL = "/root/testdata/sf0.001"
-TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
-
 
 @pytest.fixture(scope="session")
 def spark(tmp_path_factory) -> SparkSession:
@@ -40,13 +38,3 @@ def duck():
     for t in TABLES:
         c.execute(f"CREATE VIEW {t} AS SELECT * FROM '{SMALL}/{t}.parquet'")
     return c
-
-
-def same_rows(df, cursor) -> None:
-    """The Spark rows and the SQL rows are equal as bags, columns by name."""
-    names = [x[0] for x in cursor.description]
-    columns = sorted(df.columns)
-    assert columns == sorted(names)
-    ours = sorted((tuple(r[c] for c in columns) for r in df.collect()), key=repr)
-    theirs = sorted((tuple(r[names.index(c)] for c in columns) for r in cursor.fetchall()), key=repr)
-    assert ours == theirs

@@ -2,7 +2,7 @@ import inspect
 
 import __spark_entry__ as entry
 import pytest
-from conftest import SMALL, same_rows
+from helpers import SMALL, same_rows
 from quillmill.plans import registry
 
 
