@@ -37,8 +37,8 @@ from .common import saved
 
 @dataclass(frozen=True)
 class CrossPolytope:
-    tables: int = 10
-    probes: int = 6  #: axes that a query looks at in each table
+    tables: int = 12
+    probes: int = 10  #: axes that a query looks at in each table
     seed: int = 11
     part: int = 2000  #: rows of a bucket that are searched together
 
@@ -60,6 +60,7 @@ def rotate(x: np.ndarray, signs: np.ndarray) -> np.ndarray:
 def axes(vectors: np.ndarray, c: CrossPolytope, probes: int) -> np.ndarray:
     """The probes nearest signed axes in every table: shape (rows, tables, probes). Axis a and its opposite are a and a + d."""
     n, dim = vectors.shape
+    probes = min(probes, 2 << max(dim - 1, 1).bit_length())
     d = 1 << max(dim - 1, 1).bit_length()
     unit = np.zeros((n, d))
     # Scaled by the largest component first, so that squares neither overflow nor vanish.
