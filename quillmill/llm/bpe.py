@@ -17,14 +17,14 @@ Defined results: null text is empty text, with no ids. Repeated rows, null ids
 and empty tables need nothing special: every row is encoded by itself.
 """
 
-from __future__ import annotations
-
 import base64
 import hashlib
+from collections.abc import Iterator
 from functools import lru_cache
 
+import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, functions as F, types as T
 
 #: Characters of a leaf; longer texts are halved.
 LEAF = 16_384
@@ -112,30 +112,26 @@ def codec(ranks_path: str, pattern: str, leaf: int = LEAF) -> Codec:
 
 def encoded(docs: DataFrame, ranks_path: str, pattern: str, text: str = "text") -> DataFrame:
     """docs with a column ids of token ids."""
-    from pyspark.sql import functions as F, types as T
-
-    def run(texts):
-        import pandas as pd
 
+    @F.pandas_udf(T.ArrayType(T.IntegerType()))
+    def run(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
         c = codec(ranks_path, pattern)
         for batch in texts:
             yield pd.Series([c.encode(t) if t else [] for t in batch])
 
-    return docs.withColumn("ids", F.pandas_udf(run, T.ArrayType(T.IntegerType()), F.PandasUDFType.SCALAR_ITER)(F.col(text)))
+    return docs.withColumn("ids", run(F.col(text)))
 
 
 def decoded(rows: DataFrame, ranks_path: str, pattern: str, ids: str = "ids") -> DataFrame:
     """rows with a column decoded of bytes."""
-    from pyspark.sql import functions as F, types as T
-
-    def run(batches):
-        import pandas as pd
 
+    @F.pandas_udf(T.BinaryType())
+    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         c = codec(ranks_path, pattern)
         for batch in batches:
             yield pd.Series([c.decode(i.tolist()) if i is not None else b"" for i in batch])
 
-    return rows.withColumn("decoded", F.pandas_udf(run, T.BinaryType(), F.PandasUDFType.SCALAR_ITER)(F.col(ids)))
+    return rows.withColumn("decoded", run(F.col(ids)))
 
 
 def round_trip_digests(docs: DataFrame, ranks_path: str, pattern: str) -> DataFrame:

@@ -103,7 +103,7 @@ def frequencies(docs: DataFrame, size: int = 5) -> tuple[np.ndarray, int]:
 
 def log_idf(df: np.ndarray, n: int, common: float) -> np.ndarray:
     """ln of the weight of every counter: ln(1 + n / df) against its value at the share common, at most 1."""
-    return np.log(np.minimum(1.0, np.log1p(n / np.maximum(df, 1)) / np.log1p(1 / common))).astype(np.float32)
+    return np.log(np.minimum(1.0, np.log1p(max(n, 1) / np.maximum(df, 1)) / np.log1p(1 / common))).astype(np.float32)
 
 
 def log_weights(shingles: np.ndarray, counts: np.ndarray, logs: np.ndarray) -> np.ndarray:
