@@ -90,11 +90,11 @@ def chunk_ends(data: np.ndarray, c: Chunking) -> list[int]:
 
 
 def chunks(docs: DataFrame, c: Chunking = Chunking()) -> DataFrame:
-    """One row per chunk: doc_id, chunk, start and stop in code points, words that begin in it, digest as hi and lo."""
+    """One row per chunk: doc_id, start and size in code points, words that begin in it, digest as hi and lo. Chunks tile the text."""
     rows = docs.where("doc_id IS NOT NULL").select("doc_id", filled_text().alias("text"))
     id_type = rows.schema["doc_id"].dataType.simpleString()
-    names = ["doc_id", "chunk", "start", "stop", "words", "hi", "lo"]
-    kinds = (pa.int32(), pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.int64())
+    names = ["doc_id", "start", "size", "words", "hi", "lo"]
+    kinds = (pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.int64())
 
     def run(batches):
         import xxhash
@@ -113,7 +113,7 @@ def chunks(docs: DataFrame, c: Chunking = Chunking()) -> DataFrame:
                 words = np.cumsum(~blank & np.r_[True, blank[:-1]])[e - 1]
                 digests = np.frombuffer(b"".join(xxhash.xxh3_128_digest(raw[i:j]) for i, j in zip([0, *ends[:-1]], ends, strict=True)), "<i8").reshape(-1, 2)
                 of.append(np.full(len(e), row))
-                for into, x in zip(columns, (np.arange(len(e)), np.r_[0, points[:-1]], points, np.diff(words, prepend=0), digests[:, 0], digests[:, 1]), strict=True):
+                for into, x in zip(columns, (np.r_[0, points[:-1]], np.diff(points, prepend=0), np.diff(words, prepend=0), digests[:, 0], digests[:, 1]), strict=True):
                     into.append(x)
                 size += len(e)
                 if size > 100_000:
@@ -125,7 +125,7 @@ def chunks(docs: DataFrame, c: Chunking = Chunking()) -> DataFrame:
     def batch(b, of, columns):
         return pa.RecordBatch.from_arrays([b.column("doc_id").take(pa.array(np.concatenate(of))), *(pa.array(np.concatenate(x), k) for x, k in zip(columns, kinds, strict=True))], names)
 
-    return rows.mapInArrow(run, f"doc_id {id_type}, chunk int, start int, stop int, words int, hi long, lo long")
+    return rows.mapInArrow(run, f"doc_id {id_type}, start int, size int, words int, hi long, lo long")
 
 
 def repeated_chunks(docs: DataFrame, c: Chunking = Chunking()) -> DataFrame:
@@ -140,7 +140,7 @@ def repeated_runs(docs: DataFrame, c: Chunking = Chunking()) -> DataFrame:
 
     first_doc_id is the smallest document that holds the run's first chunk.
     """
-    found = repeated_chunks(docs, c).groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("chunk", "start", "stop", "words", "first"))).alias("parts"))
+    found = repeated_chunks(docs, c).groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("start", "size", "words", "first"))).alias("parts"))
     id_type = docs.schema["doc_id"].dataType.simpleString()
 
     def run(batches):
@@ -149,16 +149,17 @@ def repeated_runs(docs: DataFrame, c: Chunking = Chunking()) -> DataFrame:
             for row, parts in enumerate(b.column("parts").to_pylist()):
                 now = None
                 for p in parts:
-                    if now is not None and p["chunk"] == now[0] + 1 and p["start"] == now[2]:
-                        now = [p["chunk"], now[1], p["stop"], now[3] + 1, now[4] + p["words"], now[5]]
+                    stop = p["start"] + p["size"]
+                    if now is not None and p["start"] == now[1]:
+                        now = [now[0], stop, now[2] + 1, now[3] + p["words"], now[4]]
                     else:
-                        if now is not None and now[4] >= c.least_words:
+                        if now is not None and now[3] >= c.least_words:
                             of.append(row)
-                            rows.append(now[1:])
-                        now = [p["chunk"], p["start"], p["stop"], 1, p["words"], p["first"]]
-                if now is not None and now[4] >= c.least_words:
+                            rows.append(now)
+                        now = [p["start"], stop, 1, p["words"], p["first"]]
+                if now is not None and now[3] >= c.least_words:
                     of.append(row)
-                    rows.append(now[1:])
+                    rows.append(now)
             columns = list(zip(*rows, strict=True)) or [()] * 5
             kinds = (pa.int32(), pa.int32(), pa.int32(), pa.int32(), b.schema.field("doc_id").type)
             yield pa.RecordBatch.from_arrays([b.column("doc_id").take(pa.array(of, pa.int64())), *(pa.array(x, k) for x, k in zip(columns, kinds, strict=True))], ["doc_id", "start", "stop", "n_chunks", "n_words", "first_doc_id"])
