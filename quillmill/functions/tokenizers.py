@@ -10,7 +10,7 @@ import hashlib
 import re
 from typing import Protocol
 
-from pyspark.sql import Column, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 TOKEN = r"[A-Za-z]+|[0-9]+|[^A-Za-z0-9\s]"
 
@@ -70,3 +70,16 @@ def token_ids(text: Column) -> Column:
 
 def token_count(text: Column) -> Column:
     return F.regexp_count(text, F.lit(f"(?U){TOKEN}"))
+
+
+def encoded(df: DataFrame, tokenizer: Tokenizer, text: str, into: str) -> DataFrame:
+    """df with the ids of a text column."""
+    import pyarrow as pa
+
+    def run(batches):
+        for b in batches:
+            values = b.column(b.schema.get_field_index(text)).to_pylist()
+            yield b.append_column(into, pa.array([None if v is None else tokenizer.encode(v) for v in values], pa.list_(pa.int32())))
+
+    kinds = ", ".join(f"`{x.name}` {x.dataType.simpleString()}" for x in df.schema)
+    return df.mapInArrow(run, f"{kinds}, `{into}` array<int>")

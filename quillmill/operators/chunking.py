@@ -79,9 +79,10 @@ def chunk_text(text: str, tokenizer: tokenizers.Tokenizer, most: int, eos: int |
     return chunks
 
 
-def chunk_documents(docs: DataFrame, tokenizer: tokenizers.Tokenizer, most: int = chunk_budget(), eos: int | None = None, doc_id: str = "doc_id", text: str = "text", between: str = K.CHUNK_PARAGRAPH) -> DataFrame:
-    """(doc_id, chunk_idx, n_tokens, is_chapter_end, input_ids) of every chunk."""
+def chunk_documents(docs: DataFrame, tokenizer: tokenizers.Tokenizer, most: int = chunk_budget(), eos: int | None = None, doc_id: str = "doc_id", text: str = "text", between: str = K.CHUNK_PARAGRAPH, decode: bool = False) -> DataFrame:
+    """(doc_id, chunk_idx, n_tokens, is_chapter_end, input_ids) of every chunk, and its decoded text if asked for."""
     rows = docs.select(doc_id, F.coalesce(F.col(text), F.lit("")).alias("text"))
+    names = [doc_id, "chunk_idx", "n_tokens", "is_chapter_end", "input_ids", *(["text"] if decode else [])]
 
     def run(batches):
         for b in batches:
@@ -89,13 +90,13 @@ def chunk_documents(docs: DataFrame, tokenizer: tokenizers.Tokenizer, most: int
             for row, t in enumerate(b.column("text").to_pylist()):
                 chunks = chunk_text(t, tokenizer, most, eos, between)
                 of += [row] * len(chunks)
-                out += [(k, len(ids), k == len(chunks) - 1, ids) for k, ids in enumerate(chunks)]
-            columns = list(zip(*out, strict=True)) or [()] * 4
-            kinds = (pa.int32(), pa.int32(), pa.bool_(), pa.list_(pa.int32()))
-            yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(of, pa.int64())), *(pa.array(c, k) for c, k in zip(columns, kinds, strict=True))], [doc_id, "chunk_idx", "n_tokens", "is_chapter_end", "input_ids"])
+                out += [(k, len(ids), k == len(chunks) - 1, ids, *([tokenizer.decode(ids)] if decode else [])) for k, ids in enumerate(chunks)]
+            kinds = (pa.int32(), pa.int32(), pa.bool_(), pa.list_(pa.int32()), *([pa.string()] if decode else []))
+            columns = list(zip(*out, strict=True)) or [()] * len(kinds)
+            yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(of, pa.int64())), *(pa.array(c, k) for c, k in zip(columns, kinds, strict=True))], names)
 
     kind = rows.schema[doc_id].dataType.simpleString()
-    return rows.mapInArrow(run, f"{doc_id} {kind}, chunk_idx int, n_tokens int, is_chapter_end boolean, input_ids array<int>")
+    return rows.mapInArrow(run, f"{doc_id} {kind}, chunk_idx int, n_tokens int, is_chapter_end boolean, input_ids array<int>" + ", text string" * decode)
 
 
 def packed_runs(lengths: Column, most: int, separator: int) -> Column:
