@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 
 def once(df: DataFrame, **columns: Column) -> DataFrame:
@@ -26,3 +26,21 @@ def draw(seed: int, *key: str) -> Column:
 def rounded(c: Column, places: int = 6) -> Column:
     """Sums of doubles depend on the order of addition; results that hold them are given to some places."""
     return F.round(c, places)
+
+
+def with_drawn_rank(rows: DataFrame, draw_: Column, by: tuple[str, ...], keys: tuple[str, ...], at: str = "__at", of: str = "__of") -> DataFrame:
+    """rows with their place in the drawn order of their group, from 1, and the group's size.
+
+    A group isn't sorted by one task: the first two digits of the draw part it into
+    256 bins, which are ranked apart and moved up by the rows in the bins before.
+    """
+    drawn = rows.withColumn("__draw", draw_).withColumn("__bin", F.substring("__draw", 1, 2))
+    group = Window.partitionBy(*by) if by else Window.partitionBy(F.lit(0))
+    bins = drawn.groupBy(*by, "__bin").agg(F.count("*").alias("__in_bin"))
+    bins = bins.withColumns({"__before": F.sum("__in_bin").over(group.orderBy("__bin")) - F.col("__in_bin"), of: F.sum("__in_bin").over(group)}).drop("__in_bin")
+    ranked = drawn.withColumn("__inside", F.row_number().over(Window.partitionBy(*by, "__bin").orderBy("__draw", *keys)))
+    other = bins.select(*(F.col(c).alias(f"__g_{c}") for c in by), F.col("__bin").alias("__b"), "__before", of)
+    same = F.col("__bin") == F.col("__b")
+    for c in by:
+        same = same & F.col(c).eqNullSafe(F.col(f"__g_{c}"))
+    return ranked.join(other, same).withColumn(at, F.col("__before") + F.col("__inside")).drop("__draw", "__bin", "__b", "__before", "__inside", *(f"__g_{c}" for c in by))

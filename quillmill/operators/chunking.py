@@ -100,22 +100,28 @@ def chunk_documents(docs: DataFrame, tokenizer: tokenizers.Tokenizer, most: int
 
 
 def packed_runs(lengths: Column, most: int, separator: int) -> Column:
-    """Chunk number of every paragraph, from an array of token counts that are at most most."""
-    start = F.struct(F.lit(0).alias("used"), F.lit(-1).alias("at"), F.array().cast("array<int>").alias("out"))
+    """The runs of elements that go together, as (start, n, used), from an array of token counts that are at most most. One pass; the array of runs grows only where one ends."""
+    runs = "array<struct<start:int,n:int,used:int>>"
+    zero = F.struct(F.lit(0).alias("start"), F.lit(0).alias("n"), F.lit(0).alias("used"), F.array().cast(runs).alias("out"))
 
-    def step(acc, n):
-        fits = (acc["at"] >= 0) & (acc["used"] + separator + n <= most)
-        at = F.when(fits, acc["at"]).otherwise(acc["at"] + 1)
-        return F.struct(F.when(fits, acc["used"] + separator + n).otherwise(n).alias("used"), at.alias("at"), F.array_append(acc["out"], at).alias("out"))
+    def run(acc):
+        return F.struct(acc["start"].alias("start"), acc["n"].alias("n"), acc["used"].alias("used"))
 
-    return F.aggregate(lengths, start, step, lambda acc: acc["out"])
+    def step(acc, tokens):
+        fits = (acc["n"] > 0) & (acc["used"] + separator + tokens <= most)
+        first = acc["n"] == 0
+        out = F.when(fits | first, acc["out"]).otherwise(F.array_append(acc["out"], run(acc)))
+        start = F.when(fits | first, acc["start"]).otherwise(acc["start"] + acc["n"])
+        return F.struct(start.alias("start"), F.when(fits, acc["n"] + 1).otherwise(1).alias("n"), F.when(fits, acc["used"] + separator + tokens).otherwise(tokens).alias("used"), out.alias("out"))
+
+    return F.aggregate(lengths, zero, step, lambda acc: F.when(acc["n"] == 0, acc["out"]).otherwise(F.array_append(acc["out"], run(acc))))
 
 
 def paragraph_chunks(docs: DataFrame, most: int, separator: int = 1, between: str = K.CHUNK_PARAGRAPH, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """(doc_id, chunk_idx, n_paragraphs, n_tokens, is_chapter_end, text) by the word tokenizer, without paragraphs longer than most."""
+    """(doc_id, chunk_idx, n_paragraphs, n_tokens, is_chapter_end, text) by the word tokenizer, without paragraphs longer than most. No text is shuffled."""
     df = once(docs.select(doc_id, text).where(F.col(text).isNotNull()), paras=T.paragraphs(F.col(text), between)).drop(text)
     df = once(df, counted=F.filter(F.transform("paras", lambda p: F.struct(p.alias("p"), tokenizers.token_count(p).alias("n"))), lambda x: x["n"].between(1, most))).drop("paras")
-    df = once(df, at=packed_runs(F.col("counted.n"), most, separator))
-    rows = df.select(doc_id, F.array_max("at").alias("last"), F.posexplode(F.arrays_zip("counted", "at")).alias("pos", "x"))
-    grouped = rows.groupBy(doc_id, F.col("x.at").alias("chunk_idx")).agg(F.count("*").alias("n_paragraphs"), (F.sum("x.counted.n") + separator * (F.count("*") - 1)).alias("n_tokens"), F.first("last").alias("last"), F.sort_array(F.collect_list(F.struct("pos", F.col("x.counted.p").alias("p")))).alias("parts"))
-    return grouped.select(doc_id, "chunk_idx", "n_paragraphs", "n_tokens", (F.col("chunk_idx") == F.col("last")).alias("is_chapter_end"), F.array_join("parts.p", "\n\n").alias("text"))
+    df = once(df, runs=packed_runs(F.col("counted.n"), most, separator))
+    rows = df.select(doc_id, "counted", F.size("runs").alias("n_chunks"), F.posexplode("runs").alias("chunk_idx", "run"))
+    body = F.transform(F.slice("counted", F.col("run.start") + 1, F.col("run.n")), lambda x: x["p"])
+    return rows.select(doc_id, "chunk_idx", F.col("run.n").cast("long").alias("n_paragraphs"), F.col("run.used").cast("long").alias("n_tokens"), (F.col("chunk_idx") == F.col("n_chunks") - 1).alias("is_chapter_end"), F.array_join(body, "\n\n").alias("text"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window, functions as F
 
 from ..functions import constants as K, text as T
-from ..functions.columns import draw, once
+from ..functions.columns import draw, once, with_drawn_rank
 
 
 def word_windows(chapters: DataFrame, size: int = 500, chapter: str = "doc_id", text: str = "text") -> DataFrame:
@@ -18,18 +18,9 @@ def word_windows(chapters: DataFrame, size: int = 500, chapter: str = "doc_id",
 
 
 def group_split(rows: DataFrame, share: float = 0.20, seed: int = 42, group: str = "doc_id") -> DataFrame:
-    """rows with is_test; whole groups, a share of them rounded up.
-
-    The drawn order of all groups needs no sort in one task: groups are counted by
-    the first two digits of their draw, and ranked within.
-    """
-    drawn = rows.select(group).distinct().withColumn("__draw", draw(seed, group)).withColumn("__bin", F.substring("__draw", 1, 2))
-    bins = drawn.groupBy("__bin").agg(F.count("*").alias("__n"))
-    over = Window.partitionBy(F.lit(0)).orderBy("__bin")  # 256 rows
-    bins = bins.withColumns({"__before": F.sum("__n").over(over) - F.col("__n"), "__all": F.sum("__n").over(Window.partitionBy(F.lit(0)))})
-    inside = Window.partitionBy("__bin").orderBy("__draw", group)
-    ranked = drawn.withColumn("__at", F.row_number().over(inside)).join(F.broadcast(bins), "__bin")
-    sides = ranked.select(group, (F.col("__before") + F.col("__at") <= F.ceil(F.col("__all") * share)).alias("is_test"))
+    """rows with is_test; whole groups, a share of them rounded up."""
+    ranked = with_drawn_rank(rows.select(group).distinct(), draw(seed, group), (), (group,))
+    sides = ranked.select(group, (F.col("__at") <= F.ceil(F.col("__of") * share)).alias("is_test"))
     return rows.join(sides, group)
 
 

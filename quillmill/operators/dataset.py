@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions import text as T
-from ..functions.columns import draw
+from ..functions.columns import draw, with_drawn_rank
 
 TRAIN, VAL, TEST = 0, 1, 2
 SPLIT_NAMES = {"train": TRAIN, "val": VAL, "test": TEST}
@@ -48,9 +48,7 @@ def held_size(n: Column, share: float) -> Column:
 
 def stratified_split(rows: DataFrame, val_share: float = 0.10, test_share: float = 0.10, seed: int = 42, author: str = "author", keys=KEY) -> DataFrame:
     """rows with split: per author, in drawn order, first the test rows, then validation, then training."""
-    group = Window.partitionBy(author)
-    at = F.row_number().over(group.orderBy(draw(seed + 1, *keys), *keys))
-    df = rows.withColumns({"__at": at, "__n": F.count("*").over(group)})
+    df = with_drawn_rank(rows, draw(seed + 1, *keys), (author,), tuple(keys), "__at", "__n")
     test, val = held_size(F.col("__n"), test_share), held_size(F.col("__n"), val_share)
     split = F.when(F.col("__at") <= test, TEST).when(F.col("__at") <= test + val, VAL).otherwise(TRAIN)
     return df.withColumn("split", split.cast("tinyint")).drop("__at", "__n")
