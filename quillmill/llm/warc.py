@@ -10,8 +10,8 @@ responses.
 
 Archives are text files whose line separator is the blank line that ends a WARC
 record, so any file system that Spark knows will do. Each is one gzip stream.
-Reading takes whole archives (``records_per_file`` bounds them) and goes by
-Content-Length, so payloads may hold anything.
+Reading takes one compressed archive at a time (``records_per_file`` bounds them),
+inflates it in blocks and goes by Content-Length, so payloads may hold anything.
 
 Defined results: a null payload is empty; a null url writes no target header, one
 with line ends has them percent-encoded; pages without id are never originals while another has the
@@ -97,40 +97,79 @@ def write_archives(pages: DataFrame, path: str, least_bytes: int = 0, records_pe
     records(pages, least_bytes).write.option("lineSep", CRLF * 2).option("compression", "gzip").option("maxRecordsPerFile", records_per_file).mode("errorifexists").text(path)
 
 
-def parse(data: bytes):
-    """(headers, block) of every record of an uncompressed archive."""
-    at = 0
-    while at < len(data):
-        end = data.index(b"\r\n\r\n", at)
-        version, *lines = data[at:end].decode().split(CRLF)
+def inflated(data: bytes, block: int = 1 << 20):
+    """The contents of a gzip stream, of several members too, in blocks."""
+    while data:
+        d = zlib.decompressobj(31)
+        while not d.eof:
+            out = d.decompress(data, block)
+            data = d.unconsumed_tail
+            if not out and not data and not d.eof:
+                raise ValueError("the archive ends within a gzip member")
+            yield out
+        data = d.unused_data
+
+
+def parse(blocks):
+    """(headers, block) of every record of an archive that comes in blocks of bytes; holds one record at a time."""
+    blocks, held, at = iter(blocks), bytearray(), 0
+
+    def more() -> bool:
+        nonlocal held, at
+        part = next(blocks, None)
+        if part is None:
+            return False
+        held, at = held[at:] + part, 0
+        return True
+
+    while True:
+        while (end := held.find(b"\r\n\r\n", at)) < 0:
+            if not more():
+                if len(held) > at:
+                    raise ValueError("the archive ends within a record's headers")
+                return
+        version, *lines = held[at:end].decode().split(CRLF)
         if not version.startswith("WARC/"):
-            raise ValueError(f"no WARC record at byte {at}")
+            raise ValueError(f"no WARC record: {version[:40]!r}")
         head = dict(x.split(": ", 1) for x in lines)
-        n = int(head["Content-Length"])
-        yield head, data[end + 4 : end + 4 + n]
-        at = end + 4 + n + 4
+        start, n = end + 4 - at, int(head["Content-Length"])
+        while len(held) - at < start + n + 4:
+            if not more():
+                raise ValueError("the archive ends within a record")
+        yield head, bytes(held[at + start : at + start + n])
+        at += start + n + 4
 
 
 def read_archives(spark: SparkSession, path: str, payloads: bool = True) -> DataFrame:
     """The records below path. The digests of responses are taken from their payloads, and checked."""
     files = spark.read.format("binaryFile").option("pathGlobFilter", "*.gz").load(path).select("content")
+    kinds = (pa.int64(), pa.string(), pa.string(), pa.int64(), pa.string(), pa.int64(), pa.string())
+
+    def record(head, block):
+        digest, body, kind = head["WARC-Payload-Digest"].removeprefix("sha1:"), None, head["WARC-Type"]
+        size = int(head["X-Payload-Bytes"])
+        if kind == "response":
+            body = block[block.index(b"\r\n\r\n") + 4 :]
+            if (is_ := base64.b32encode(hashlib.sha1(body).digest()).decode()) != digest or len(body) != size:
+                raise ValueError(f"payload of {head['WARC-Record-ID']} has digest {is_}")
+        page, refers = head["X-Page-ID"], head.get("X-Refers-To-Page-ID")
+        return (int(page) if page else None, head.get("WARC-Target-URI"), kind, size, digest, int(refers) if refers else None, body.decode() if payloads and body is not None else None)
+
+    def batch(rows):
+        return pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*rows, strict=True), kinds, strict=True)], [x.split()[0] for x in RECORDS.split(", ")])
 
     def run(batches):
         for b in batches:
             for content in b.column(0):
-                rows = []
-                for head, block in parse(zlib.decompress(content.as_py(), 31)):
-                    digest, body = head["WARC-Payload-Digest"].removeprefix("sha1:"), None
-                    size, kind = int(head["X-Payload-Bytes"]), head["WARC-Type"]
-                    if kind == "response":
-                        body = block[block.index(b"\r\n\r\n") + 4 :]
-                        if (is_ := base64.b32encode(hashlib.sha1(body).digest()).decode()) != digest or len(body) != size:
-                            raise ValueError(f"payload of {head['WARC-Record-ID']} has digest {is_}")
-                    page, refers = head["X-Page-ID"], head.get("X-Refers-To-Page-ID")
-                    rows.append((int(page) if page else None, head.get("WARC-Target-URI"), kind, size, digest, int(refers) if refers else None, body.decode() if payloads and body is not None else None))
+                rows, size = [], 0
+                for head, block in parse(inflated(content.as_py())):
+                    rows.append(record(head, block))
+                    size += len(block)
+                    if size > 1 << 24 or len(rows) >= 10_000:
+                        yield batch(rows)
+                        rows, size = [], 0
                 if rows:
-                    kinds = (pa.int64(), pa.string(), pa.string(), pa.int64(), pa.string(), pa.int64(), pa.string())
-                    yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*rows, strict=True), kinds, strict=True)], [x.split()[0] for x in RECORDS.split(", ")])
+                    yield batch(rows)
 
     return files.mapInArrow(run, RECORDS)
 

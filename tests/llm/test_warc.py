@@ -37,7 +37,7 @@ def test_round_trip(pages):
 def test_archives_hold_payloads_once(spark, pages, tmp_path):
     path = str(tmp_path / "w")
     warc.write_archives(pages, path)
-    records = [r for f in (tmp_path / "w").glob("*.gz") for r in warc.parse(gzip.decompress(f.read_bytes()))]
+    records = [r for f in (tmp_path / "w").glob("*.gz") for r in warc.parse([gzip.decompress(f.read_bytes())])]
     assert len(records) == pages.count()
     for head, block in records:
         assert int(head["Content-Length"]) == len(block)
@@ -61,3 +61,19 @@ def test_hot_payload(spark):
     got = warc.archive_round_trip(df)
     assert got.where("record_type = 'revisit'").count() == 199
     assert got.where("refers_to IS NOT NULL").select("refers_to").distinct().count() == 1
+
+
+def test_any_blocks_give_the_same_records():
+    record = lambda n: b"WARC/1.1\r\nContent-Length: %d\r\n\r\n" % n + b"\r\n" * (n // 2) + b"x" * (n % 2) + b"\r\n\r\n"
+    data = b"".join(record(n) for n in (0, 7, 100, 3))
+    want = list(warc.parse([data]))
+    assert [len(b) for _, b in want] == [0, 7, 100, 3]
+    for step in (1, 5, 64):
+        assert list(warc.parse(data[k : k + step] for k in range(0, len(data), step))) == want
+    two = gzip.compress(data) + gzip.compress(data)
+    assert b"".join(warc.inflated(two, 10)) == data * 2
+    for bad in (data[:-1], data[:10], b"HTTP/1.1 200\r\n\r\n"):
+        with pytest.raises(ValueError, match="archive ends|no WARC"):
+            list(warc.parse([bad]))
+    with pytest.raises(ValueError, match="gzip"):
+        list(warc.inflated(two[:-12]))
