@@ -56,11 +56,17 @@ def chapter_vectors(freqs: DataFrame, scaled: DataFrame, chapters: DataFrame, ch
 
     One small row per chapter: the words it lacks get the score of frequency 0.
     """
-    own = freqs.groupBy(chapter).agg(F.map_from_entries(F.collect_list(F.struct("word", "freq"))).alias("have"))  # at most the number of frequent words
+    places = scaled.select("word", (F.row_number().over(Window.partitionBy(F.lit(0)).orderBy("word")) - 1).alias("i"))  # the frequent words
+    own = freqs.join(F.broadcast(places), "word").groupBy(chapter).agg(F.sort_array(F.collect_list(F.struct("i", "freq"))).alias("have"))
     row = scaled.agg(F.sort_array(F.collect_list(F.struct("word", "mu", "sigma"))).alias("scale"))
-    joined = chapters.join(own, chapter, "left").withColumn("scale", row.scalar())
-    z = F.transform("scale", lambda s: (F.coalesce(F.element_at("have", s["word"]), F.lit(0.0)) - s["mu"]) / s["sigma"])
-    return joined.select(*chapters.columns, z.alias("z"))
+    df = chapters.join(own, chapter, "left").withColumn("scale", row.scalar())
+    have = F.coalesce("have", F.array().cast("array<struct<i:int,freq:double>>"))
+    zeros = lambda n: F.array_repeat(F.lit(0.0), n.cast("int"))
+    before = lambda j: F.when(j == 0, F.lit(-1)).otherwise(F.element_at("have", F.greatest(j, F.lit(1)))["i"])
+    filled = F.flatten(F.transform(have, lambda e, j: F.concat(zeros(e["i"] - before(j) - 1), F.array(e["freq"]))))
+    df = once(df, filled=filled)
+    dense = F.concat("filled", zeros(F.size("scale") - F.size("filled")))
+    return df.select(*chapters.columns, F.zip_with(dense, "scale", lambda f, s: (f - s["mu"]) / s["sigma"]).alias("z"))
 
 
 def centroids(vectors: DataFrame, register: str = "register") -> DataFrame:
