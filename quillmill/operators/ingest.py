@@ -16,15 +16,17 @@ def catalog_works(catalog: DataFrame) -> DataFrame:
     return rows.withColumns({"work_title": title, "pg_id": F.col("Text#")}).withColumn("work_slug", F.when(work == "", F.concat(F.lit("pg-"), F.col("pg_id"))).otherwise(work))
 
 
-def author_works(catalog: DataFrame, authors: DataFrame, authors_field: str = "Authors", position: str = "position") -> DataFrame:
+def author_works(catalog: DataFrame, authors: DataFrame, authors_field: str = "Authors") -> DataFrame:
     """Rows of catalog once for each author whose name, in any 'Last, First' form, is in the authors field.
 
-    authors is a dimension of a checked, small size; case and accents don't count.
+    Case and accents don't count. The names travel as one array and are tried on
+    each row, so no join is needed; authors is a dimension of a few names.
     """
-    needles = authors.select("author", F.explode(T.name_forms(F.col("author"))).alias("needle")).select("author", T.unaccented(F.col("needle")).alias("needle")).distinct()
-    field = catalog.withColumn("__field", T.unaccented(F.coalesce(authors_field, F.lit(""))))
-    found = field.join(F.broadcast(needles), F.contains(F.col("__field"), F.col("needle")))
-    return found.drop("__field", "needle").dropDuplicates(["author", position])
+    needles = authors.select("author", F.explode(T.name_forms(F.col("author"))).alias("needle")).select("author", T.unaccented(F.col("needle")).alias("needle"))
+    every = needles.agg(F.collect_set(F.struct("author", "needle")).alias("every"))
+    rows = catalog.withColumns({"__field": T.unaccented(F.coalesce(authors_field, F.lit(""))), "__every": every.scalar()})
+    found = F.array_distinct(F.transform(F.filter("__every", lambda x: F.contains(F.col("__field"), x["needle"])), lambda x: x["author"]))
+    return rows.select(*(F.col(f"`{c}`") for c in catalog.columns), F.explode(found).alias("author"))
 
 
 def first_works(works: DataFrame, most: int, position: str = "position") -> DataFrame:

@@ -19,7 +19,7 @@ CATALOG_AUTHORS = ("Austen, Jane, 1775-1817", "BRONTE, EMILY", "Brontë, Charlot
 
 
 def _of(names: tuple[str, ...], source):
-    n = F.substring(source, 4, 10).cast("int")
+    n = F.substring(source, 4, 10).try_cast("int")
     return F.element_at(F.array(*map(F.lit, names)), n % len(names) + 1)
 
 
