@@ -1,7 +1,7 @@
 """Near-duplicate classes by improved consistent weighted sampling.
 
-A document is a weighted set: its five-word shingles, each weighing its count
-times an inverse document frequency. Document frequencies are counted over all
+A document is a weighted set: its shingles of five words (in lower case, without
+punctuation), each weighing its count times an inverse document frequency. Document frequencies are counted over all
 documents in a hashed table of fixed size (2^20 counters), so the table that
 travels to the workers doesn't grow with the corpus; shingles that share a counter
 share a frequency, which is relative to the corpus and so keeps its meaning at any

@@ -20,7 +20,12 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 
 def word_hashes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of all words of texts (runs without ASCII white space), and where each text's begin and end."""
+    """Hashes of all words of texts, and where each text's begin and end.
+
+    Words are runs without ASCII white space, in lower case and without their
+    punctuation, unless they have nothing else: copies that were punctuated or
+    capitalised anew have the same words.
+    """
     import xxhash
 
     lists = pc.ascii_split_whitespace(pc.fill_null(texts.cast(pa.large_string()), ""))
@@ -29,7 +34,10 @@ def word_hashes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     counts = np.diff(np.asarray(lists.offsets))
     ends = np.cumsum(np.bincount(np.repeat(np.arange(len(texts)), counts), weights=full, minlength=len(texts)).astype(np.int64)) if len(words) else np.zeros(len(texts), np.int64)
     coded = pc.dictionary_encode(words.filter(pa.array(full)))
-    table = np.fromiter((xxhash.xxh3_64_intdigest(w.as_py()) for w in coded.dictionary.cast(pa.large_binary())), np.uint64, len(coded.dictionary))
+    lower = pc.utf8_lower(coded.dictionary)
+    bare = pc.replace_substring_regex(lower, r"[^\p{L}\p{N}]+", "")
+    plain = pc.if_else(pc.equal(pc.binary_length(bare), 0), lower, bare).cast(pa.large_binary()).to_pylist()
+    table = np.fromiter(map(xxhash.xxh3_64_intdigest, plain), np.uint64, len(plain))
     return table[np.asarray(coded.indices)] if len(table) else np.zeros(0, np.uint64), np.r_[0, ends]
 
 

@@ -134,3 +134,22 @@ def test_hot_copies_are_one_node(spark):
     got = classes(df)
     assert {got[k] for k in range(0, 3000, 3)} == {0}
     assert all(got[k] == k for k in range(3000) if k % 3)
+
+
+def test_punctuation_and_case_don_t_matter(spark):
+    rng = random.Random(9)
+    words = [f"w{k}" for k in rng.sample(range(900), 120)]
+    other = " ".join(w.title() + rng.choice([".", ",", "", "!"]) for w in words)
+    rows = [(5, " ".join(words)), (6, other), (7, "*** --- $$$"), (8, "*** --- $$$"), (9, "--- *** %%%")]
+    assert classes(spark.createDataFrame(rows, "doc_id long, text string")) == {5: 5, 6: 5, 7: 7, 8: 7, 9: 9}
+
+
+def test_words_by_hand():
+    from quillmill.llm.shingles import word_hashes
+
+    h, at = word_hashes(pa.array(["Don't stop, STOP!", None, "*** dont É", "é"]))
+    assert at.tolist() == [0, 3, 3, 6, 7]
+    assert h[0] == h[4]
+    assert h[1] == h[2]
+    assert h[5] == h[6]
+    assert len({*h.tolist()}) == 4
