@@ -62,10 +62,13 @@ class HubTokenizer:
         return self._inner().decode(ids, skip_special_tokens=True)
 
 
+def tokens(text: Column) -> Column:
+    return F.regexp_extract_all(text, F.lit(f"(?U){TOKEN}"), F.lit(0))
+
+
 def token_ids(text: Column) -> Column:
     """WordTokenizer.encode as a column."""
-    tokens = F.regexp_extract_all(text, F.lit(f"(?U){TOKEN}"), F.lit(0))
-    return F.transform(tokens, lambda t: F.conv(F.substring(F.md5(t.cast("binary")), 1, 7), 16, 10).cast("int"))
+    return F.transform(tokens(text), lambda t: F.conv(F.substring(F.md5(t.cast("binary")), 1, 7), 16, 10).cast("int"))
 
 
 def token_count(text: Column) -> Column:

@@ -1,9 +1,9 @@
 """Greedy packing of paragraphs into chunks of bounded token length.
 
 A chapter's chunks depend on the order of its paragraphs, so a chapter is packed by
-one task, and chapters in parallel. ``chunk_documents`` takes any tokenizer and does
-paragraphs that are too long; ``paragraph_chunks`` is the fold over token counts in
-the JVM for texts without such paragraphs.
+one task, and chapters in parallel. ``chunk_documents`` takes any tokenizer;
+``paragraph_chunks`` is the fold over the word tokenizer's counts in the JVM. Both
+split paragraphs that are too long.
 """
 
 from __future__ import annotations
@@ -100,15 +100,15 @@ def chunk_documents(docs: DataFrame, tokenizer: tokenizers.Tokenizer, most: int
 
 
 def packed_runs(lengths: Column, most: int, separator: int) -> Column:
-    """The runs of elements that go together, as (start, n, used), from an array of token counts that are at most most. One pass; the array of runs grows only where one ends."""
+    """The runs of elements that go together, as (start, n, used), from an array of token counts that are at most most; a negative count is an element of that many tokens that stays alone. One pass; the array of runs grows only where one ends."""
     runs = "array<struct<start:int,n:int,used:int>>"
     zero = F.struct(F.lit(0).alias("start"), F.lit(0).alias("n"), F.lit(0).alias("used"), F.array().cast(runs).alias("out"))
 
     def run(acc):
-        return F.struct(acc["start"].alias("start"), acc["n"].alias("n"), acc["used"].alias("used"))
+        return F.struct(acc["start"].alias("start"), acc["n"].alias("n"), F.abs(acc["used"]).alias("used"))
 
     def step(acc, tokens):
-        fits = (acc["n"] > 0) & (acc["used"] + separator + tokens <= most)
+        fits = (acc["n"] > 0) & (acc["used"] > 0) & (tokens > 0) & (acc["used"] + separator + tokens <= most)
         first = acc["n"] == 0
         out = F.when(fits | first, acc["out"]).otherwise(F.array_append(acc["out"], run(acc)))
         start = F.when(fits | first, acc["start"]).otherwise(acc["start"] + acc["n"])
@@ -117,10 +117,34 @@ def packed_runs(lengths: Column, most: int, separator: int) -> Column:
     return F.aggregate(lengths, zero, step, lambda acc: F.when(acc["n"] == 0, acc["out"]).otherwise(F.array_append(acc["out"], run(acc))))
 
 
-def paragraph_chunks(docs: DataFrame, most: int, separator: int = 1, between: str = K.CHUNK_PARAGRAPH, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """(doc_id, chunk_idx, n_paragraphs, n_tokens, is_chapter_end, text) by the word tokenizer, without paragraphs longer than most. No text is shuffled."""
+def _counted(texts: Column) -> Column:
+    return F.transform(texts, lambda p: F.struct(p.alias("p"), tokenizers.token_count(p).alias("n")))
+
+
+def _pieces(paragraph: Column, most: int) -> Column:
+    """split_paragraph by the word tokenizer, as (p, n) with n negative: no piece shares a chunk. Slices of a sentence are its tokens with spaces between."""
+    sentences = F.filter(_counted(T.pieces_by_sentence(paragraph)), lambda s: s["n"] > 0)
+
+    def slices(s):
+        tokens = tokenizers.tokens(s["p"])
+        starts = F.sequence(F.lit(1), s["n"], F.lit(most))
+        return F.transform(starts, lambda k: F.struct(F.array_join(F.slice(tokens, k, most), " ").alias("p"), (-F.least(F.lit(most), s["n"] - k + 1)).alias("n")))
+
+    parts = F.flatten(F.transform(sentences, lambda s: F.when(s["n"] > most, slices(s)).otherwise(F.array(s))))
+
+    def joined(parts, runs):
+        return F.transform(runs, lambda r: F.struct(F.array_join(F.transform(F.slice(parts, r["start"] + 1, r["n"]), lambda x: x["p"]), " ").alias("p"), (-r["used"]).alias("n")))
+
+    # An array of one binds the parts, which would be worked out again for each run.
+    return F.flatten(F.transform(F.array(parts), lambda ps: joined(ps, packed_runs(F.transform(ps, lambda x: x["n"]), most, 0))))
+
+
+def paragraph_chunks(docs: DataFrame, most: int, separator: int = 1, between: str = K.CHUNK_PARAGRAPH, doc_id: str = "doc_id", text: str = "text", split_long: bool = True) -> DataFrame:
+    """(doc_id, chunk_idx, n_paragraphs, n_tokens, is_chapter_end, text) by the word tokenizer. Pieces of a paragraph longer than most are chunks of their own; without split_long such paragraphs are left out. No text is shuffled."""
     df = once(docs.select(doc_id, text).where(F.col(text).isNotNull()), paras=T.paragraphs(F.col(text), between)).drop(text)
-    df = once(df, counted=F.filter(F.transform("paras", lambda p: F.struct(p.alias("p"), tokenizers.token_count(p).alias("n"))), lambda x: x["n"].between(1, most))).drop("paras")
+    df = once(df, counted=F.filter(_counted(F.col("paras")), lambda x: x["n"] >= 1 if split_long else x["n"].between(1, most))).drop("paras")
+    if split_long:
+        df = once(df, parts=F.flatten(F.transform("counted", lambda x: F.when(x["n"] > most, _pieces(x["p"], most)).otherwise(F.array(x))))).drop("counted").withColumnRenamed("parts", "counted")
     df = once(df, runs=packed_runs(F.col("counted.n"), most, separator))
     rows = df.select(doc_id, "counted", F.size("runs").alias("n_chunks"), F.posexplode("runs").alias("chunk_idx", "run"))
     body = F.transform(F.slice("counted", F.col("run.start") + 1, F.col("run.n")), lambda x: x["p"])

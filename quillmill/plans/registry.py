@@ -21,6 +21,21 @@ def query(f):
     return f
 
 
+def chunk_query(f):
+    """f over all chunks as whole_<name>; under its own name, over those that its SQL has, which leaves out paragraphs of more than 200 tokens."""
+
+    def over(name, whole):
+        def run(spark, sf_dir):
+            return f(spark, sf_dir, whole)
+
+        run.__name__, run.__doc__ = name, f.__doc__
+        return run
+
+    QUERIES[f.__name__] = over(f.__name__, False)
+    QUERIES[f"whole_{f.__name__}"] = over(f"whole_{f.__name__}", True)
+    return f
+
+
 def _stats(spark, sf_dir):
     """The chapters' counters, kept: small beside the texts, and read more than once by most queries."""
     return profile.chapter_stats(views.chapters(spark, sf_dir), paragraph=r"\n").persist()
@@ -123,10 +138,10 @@ def nearest_register(spark, sf_dir):
     return burrows.nearest_register(b.vectors, b.centres).select("doc_id", "nearest", rounded(F.col("delta")).alias("delta"))
 
 
-@query
-def greedy_chunks(spark, sf_dir):
+@chunk_query
+def greedy_chunks(spark, sf_dir, whole):
     """Paragraphs packed into chunks."""
-    return views.chunks(spark, sf_dir).select("path", "chunk_idx", "n_paragraphs", "n_tokens", "is_chapter_end", F.md5(F.col("text").cast("binary")).alias("text_md5"))
+    return views.chunks(spark, sf_dir, whole).select("path", "chunk_idx", "n_paragraphs", "n_tokens", "is_chapter_end", F.md5(F.col("text").cast("binary")).alias("text_md5"))
 
 
 @query
@@ -136,86 +151,86 @@ def document_chunks(spark, sf_dir):
     return out.select("doc_id", "chunk_idx", "n_tokens", "is_chapter_end", F.md5(F.array_join("input_ids", ",").cast("binary")).alias("ids_md5"))
 
 
-@query
-def chunks_join_briefs(spark, sf_dir):
+@chunk_query
+def chunks_join_briefs(spark, sf_dir, whole):
     """Chunks with their extractive briefs."""
-    chunks = views.chunks(spark, sf_dir)
+    chunks = views.chunks(spark, sf_dir, whole)
     return dataset.with_briefs(chunks.select("path", "chunk_idx", "n_tokens"), views.briefs(chunks)).select("path", "chunk_idx", "n_tokens", "author", "register", "brief")
 
 
-@query
-def chunks_to_do(spark, sf_dir):
+@chunk_query
+def chunks_to_do(spark, sf_dir, whole):
     """Chunks that have no brief yet, by author."""
-    chunks = views.chunks(spark, sf_dir)
+    chunks = views.chunks(spark, sf_dir, whole)
     return dataset.without_briefs(chunks, views.briefs(chunks)).groupBy("author").agg(F.count("*").alias("n"), F.sum("n_tokens").alias("tokens"))
 
 
-def _split(spark, sf_dir):
-    chunks = views.chunks(spark, sf_dir)
+def _split(spark, sf_dir, whole):
+    chunks = views.chunks(spark, sf_dir, whole)
     return evalset.replayed_split(chunks.select("path", "chunk_idx", "n_tokens", "text"), views.briefs(chunks))
 
 
-@query
-def stratified_split(spark, sf_dir):
+@chunk_query
+def stratified_split(spark, sf_dir, whole):
     """Capped and split chunks."""
-    return _split(spark, sf_dir).select("path", "chunk_idx", "author", F.col("split").cast("int").alias("split"))
+    return _split(spark, sf_dir, whole).select("path", "chunk_idx", "author", F.col("split").cast("int").alias("split"))
 
 
-@query
-def split_tally(spark, sf_dir):
+@chunk_query
+def split_tally(spark, sf_dir, whole):
     """Rows per author and split with a total."""
-    return dataset.split_tally(_split(spark, sf_dir))
+    return dataset.split_tally(_split(spark, sf_dir, whole))
 
 
-@query
-def author_vocabulary(spark, sf_dir):
+@chunk_query
+def author_vocabulary(spark, sf_dir, whole):
     """F13."""
-    rows = _split(spark, sf_dir).withColumn("first_seen", F.col("path"))
+    rows = _split(spark, sf_dir, whole).withColumn("first_seen", F.col("path"))
     return dataset.author_vocabulary(rows).withColumn("author_id", F.col("author_id").cast("int"))
 
 
-def _packed(spark, sf_dir):
-    rows = dataset.with_prompts(_split(spark, sf_dir), views.dimension(spark, sf_dir))
+def _packed(spark, sf_dir, whole):
+    rows = dataset.with_prompts(_split(spark, sf_dir, whole), views.dimension(spark, sf_dir))
     rows = once(rows, prompt_ids=tokenizers.token_ids(F.col("prompt")), chunk_ids=tokenizers.token_ids(F.col("text")))
     return dataset.packed_rows(rows.drop("n_tokens"), length=views.PACKED_LENGTH)
 
 
-@query
-def packed_rows(spark, sf_dir):
+@chunk_query
+def packed_rows(spark, sf_dir, whole):
     """Prompts and chunks packed to one length, with labels."""
-    rows = dataset.with_labels(_packed(spark, sf_dir))
+    rows = dataset.with_labels(_packed(spark, sf_dir, whole))
     digest = lambda c: F.md5(F.array_join(c, ",").cast("binary"))
     return rows.select("path", "chunk_idx", F.col("split").cast("int").alias("split"), F.col("prompt_length").cast("int").alias("prompt_length"), F.col("n_tokens").cast("int").alias("n_tokens"), "was_cut", digest("input_ids").alias("ids_md5"), digest("labels").alias("labels_md5"))
 
 
-@query
-def split_replay_check(spark, sf_dir):
+@chunk_query
+def split_replay_check(spark, sf_dir, whole):
     """The replayed split against the stored one, by register."""
-    return evalset.split_differences(_split(spark, sf_dir), _split(spark, sf_dir)).select("register", "train", "val", "test", "same")
+    return evalset.split_differences(_split(spark, sf_dir, whole), _split(spark, sf_dir, whole)).select("register", "train", "val", "test", "same")
 
 
-def _pool(spark, sf_dir):
-    chunks = views.chunks(spark, sf_dir)
+def _pool(spark, sf_dir, whole):
+    chunks = views.chunks(spark, sf_dir, whole)
     split = evalset.replayed_split(chunks.select("path", "chunk_idx"), views.briefs(chunks))
     return evalset.judged_briefs(evalset.test_briefs(views.briefs(chunks), split))
 
 
-@query
-def eval_brief_attrition(spark, sf_dir):
+@chunk_query
+def eval_brief_attrition(spark, sf_dir, whole):
     """F3, F4, F9, J6, A26."""
-    return evalset.attrition(_pool(spark, sf_dir))
+    return evalset.attrition(_pool(spark, sf_dir, whole))
 
 
-@query
-def eval_sample(spark, sf_dir):
+@chunk_query
+def eval_sample(spark, sf_dir, whole):
     """W8, X29."""
-    return evalset.sampled(_pool(spark, sf_dir).where("reason = 'kept'")).select("brief_id", "brief_key", "register", "place", "brief")
+    return evalset.sampled(_pool(spark, sf_dir, whole).where("reason = 'kept'")).select("brief_id", "brief_key", "register", "place", "brief")
 
 
-@query
-def instruction_probe(spark, sf_dir):
+@chunk_query
+def instruction_probe(spark, sf_dir, whole):
     """W9, J16, X30, U4."""
-    kept = _pool(spark, sf_dir).where("reason = 'kept'")
+    kept = _pool(spark, sf_dir, whole).where("reason = 'kept'")
     return evalset.instruction_probe(kept, evalset.constraints(spark)).select("brief_id", "constraint_id", "path", "chunk_idx", "brief")
 
 

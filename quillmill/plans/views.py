@@ -2,7 +2,8 @@
 
 ``documents`` are chapters, their ``source`` is the author, and the register of
 source number n is the (n mod 5)-th of the five. Their texts have single line ends
-between paragraphs. Every view covers the whole table.
+between paragraphs. Every view covers the whole
+table, but for ``chunks`` where it is asked for less.
 """
 
 from __future__ import annotations
@@ -35,10 +36,10 @@ def dimension(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.join(F.broadcast(shown), "name").select("name", "display", "authors", "style_hint")
 
 
-def chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """path (the doc_id), chunk_idx, n_paragraphs, n_tokens, is_chapter_end, text, author, register."""
+def chunks(spark: SparkSession, sf_dir: str, whole: bool = True) -> DataFrame:
+    """path (the doc_id), chunk_idx, n_paragraphs, n_tokens, is_chapter_end, text, author, register. Only with whole are there chunks of paragraphs above CHUNK_TOKENS."""
     docs = chapters(spark, sf_dir)
-    made = chunking.paragraph_chunks(docs, CHUNK_TOKENS, 1, r"\n").withColumnRenamed("doc_id", "path")
+    made = chunking.paragraph_chunks(docs, CHUNK_TOKENS, 1, r"\n", split_long=whole).withColumnRenamed("doc_id", "path")
     return made.join(docs.select(F.col("doc_id").alias("path"), "author", "register"), "path")
 
 

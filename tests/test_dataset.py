@@ -1,7 +1,10 @@
 import pytest
+from helpers import SMALL
 from pyspark.sql import functions as F
+from quillmill.functions import tokenizers
 from quillmill.functions.tokenizers import WordTokenizer
 from quillmill.operators import chunking, classifier, dataset, evalset
+from quillmill.plans import registry, views
 
 
 class Letters:
@@ -64,6 +67,24 @@ def test_native_fold_equals_the_general_one(spark):
     assert native == general
 
 
+def test_native_fold_splits_long_paragraphs_like_the_general_one(spark):
+    import random
+
+    rng = random.Random(6)
+    sentence = lambda: "S" + " w7!"[: rng.randint(0, 4)] + " " + " ".join(["w", "é", "12"][rng.randrange(3)] for _ in range(rng.randint(1, 30))) + "."
+    texts = ["\n\n".join(" ".join(sentence() for _ in range(rng.randint(1, 5))) for _ in range(rng.randint(0, 8))) for _ in range(60)] + ["w " * 100]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+
+    class OneSeparator(WordTokenizer):
+        def encode(self, text):
+            return [0] if text == "\n\n" else super().encode(text)
+
+    native = {(r["doc_id"], r["chunk_idx"]): (r["n_tokens"], r["is_chapter_end"], WordTokenizer().encode(r["text"])) for r in chunking.paragraph_chunks(docs, 12).collect()}
+    general = {(d, k): (len(c), k == len(cs) - 1, [i for i in c if i]) for d, t in enumerate(texts) for cs in [chunking.chunk_text(t, OneSeparator(), 12)] for k, c in enumerate(cs)}
+    assert native == general
+    assert sum(len(ids) for _, _, ids in native.values()) == sum(len(WordTokenizer().encode(t)) for t in texts)
+
+
 def test_last_brief_wins_and_empty_ones_drop(spark):
     briefs = spark.createDataFrame([("p", 0, "old", 1), ("p", 0, "new", 2), ("p", 1, "", 3)], "path string, chunk_idx int, brief string, line long")
     chunks = spark.createDataFrame([("p", 0), ("p", 1), ("p", 2)], "path string, chunk_idx int")
@@ -152,3 +173,12 @@ def test_constraint_checks(spark):
     rows = [("Is it?", "ends_question", True), ("No.", "ends_question", False), ("“x”", "no_dialogue", False), ("I went", "first_person", True), ("x", "weather", None)]
     df = spark.createDataFrame(rows, "text string, constraint_id string, want boolean")
     assert all(r["got"] == r["want"] for r in df.withColumn("got", evalset.checks_constraint()).collect())
+
+
+def test_whole_chunks_lose_no_token(spark):
+    docs = views.chapters(spark, SMALL)
+    want = docs.agg(F.sum(tokenizers.token_count(F.col("text")))).first()[0]
+    made = views.chunks(spark, SMALL)
+    assert made.agg(F.sum(tokenizers.token_count(F.col("text")))).first()[0] == want
+    assert made.agg(F.max("n_tokens")).first()[0] <= views.CHUNK_TOKENS
+    assert registry.QUERIES["whole_greedy_chunks"](spark, SMALL).count() == made.count() > registry.QUERIES["greedy_chunks"](spark, SMALL).count()
