@@ -18,7 +18,7 @@ from quillmill.llm.vocabularies import byte_level
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the risk-controlled rules keep."""
-    return quality.keep_good(docs, table(spark, sf_dir, "labels"))
+    return quality.keep_good(docs, table(spark, sf_dir, "labels"), quality.RiskConfig(joint=True))
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -14,6 +14,11 @@ that any stratum's rule rejects more than its share of good documents is at most
 ``delta``; all rules together reject at most ``alpha`` of a stratum's good
 documents.
 
+That certifies nothing for a stratum of few labels, even where no good document is
+rejected. With ``joint``, such a stratum, told by its number of labels alone, gets
+one ladder instead: nested sets of cutoffs of all rules together, from mild to
+strict, whose joint rejections are tested against alpha at the same level.
+
 Defined results: null text counts as empty, a null language is the stratum
 ``und``, labels with a null id or quality are no labels, repeated labels of a
 document count by the lowest quality, repeated documents each get their row. A
@@ -23,6 +28,8 @@ document without 50 words fails the base rules. Empty tables give empty results.
 from __future__ import annotations
 
 from dataclasses import dataclass, field
+from functools import reduce
+from operator import or_
 
 from pyspark.sql import Column, DataFrame, functions as F
 
@@ -35,6 +42,7 @@ _SPACE = r"\x20\x09-\x0D"
 class RiskConfig:
     alpha: float = 0.02  #: bound on a stratum's false rejections, all rules together
     delta: float = 0.05  #: chance that any bound fails
+    joint: bool = False  #: strata with too few labels for single rules are tested for all rules at once
     most_strata: int = 10_000  #: above this the cutoffs are joined by shuffle, not broadcast
     ladders: dict = field(
         default_factory=lambda: {
@@ -115,17 +123,30 @@ def scores(m: dict[str, str]) -> dict[str, Column]:
     return {"symbols": share("n_symbols", "n_words"), "upper": share("n_upper", "word_chars"), "repeats": share("n_repeat_words", "n_words"), "dup_lines": share("n_dup_lines", "n_lines")}
 
 
+def joint_sets(config: RiskConfig) -> list[dict[str, float]]:
+    """Cutoffs by rule, from mild to strict; each set rejects what the ones before it reject."""
+    most = max(map(len, config.ladders.values()))
+    return [{r: cs[(j + 1) * len(cs) // most - 1] for r, cs in config.ladders.items() if (j + 1) * len(cs) >= most} for j in range(most)]
+
+
 def certified_cutoffs(measured: DataFrame, m: dict[str, str], stratum: str, doc_id: str, labels: DataFrame, config: RiskConfig = RiskConfig()) -> DataFrame:
-    """Rows (stratum, rule, cutoff, n, rejected, p_value) of the strictest certified cutoffs."""
+    """Rows (stratum, rule, cutoff, n, rejected, p_value) of the strictest certified cutoffs; rules that are tested together share the last three."""
     held = measured.where(~base_failed(m)).select(F.col(f"`{doc_id}`").alias("__doc"), F.col(stratum).alias("stratum"), *(v.alias(f"__s_{k}") for k, v in scores(m).items()))
     held = held.join(_good(labels), F.col("__doc") == F.col("__label_id"), "inner")
     sums = [F.sum(F.when(F.col(f"__s_{r}") > c, 1).otherwise(0)).alias(f"__k_{r}_{j}") for r, cs in config.ladders.items() for j, c in enumerate(cs)]
+    sets = joint_sets(config) if config.joint else []
+    sums += [F.sum(F.when(reduce(or_, (F.col(f"__s_{r}") > c for r, c in x.items())), 1).otherwise(0)).alias(f"__k_{j}") for j, x in enumerate(sets)]
     counts = saved(held.groupBy("stratum").agg(F.count("*").alias("n"), *sums))  # a row per stratum
-    cells = F.array(*(F.struct(F.lit(r).alias("rule"), F.lit(j).alias("step"), F.lit(float(c)).alias("cutoff"), F.col(f"__k_{r}_{j}").alias("rejected")) for r, cs in config.ladders.items() for j, c in enumerate(cs)))
-    a, ladders = config.alpha / len(config.ladders), len(config.ladders) * max(1, counts.count())
-    p = F.expr(f"""CASE WHEN rejected >= n * {a}D THEN 1D ELSE aggregate(sequence(0L, rejected), named_struct('lt', n * ln(1D - {a}D), 's', 0D),
-        (acc, i) -> named_struct('lt', acc.lt + ln((n - i) / (i + 1)) + ln({a}D / (1D - {a}D)), 's', acc.s + exp(acc.lt)), acc -> acc.s) END""")
-    tested = counts.select("stratum", "n", F.inline(cells)).withColumn("p_value", p)
+    cell = lambda r, j, c, k: F.struct(F.lit(r).alias("rule"), F.lit(j).alias("step"), F.lit(float(c)).alias("cutoff"), F.col(k).alias("rejected"))
+    cells = F.array(*(cell(r, j, c, f"__k_{r}_{j}") for r, cs in config.ladders.items() for j, c in enumerate(cs)))
+    a, ladders = F.lit(config.alpha / len(config.ladders)), len(config.ladders) * max(1, counts.count())
+    if sets:
+        few = F.col("n") * F.log1p(-a) > F.log(F.lit(config.delta / ladders))
+        cells = F.when(few, F.array(*(cell(r, j, c, f"__k_{j}") for j, x in enumerate(sets) for r, c in x.items()))).otherwise(cells)
+        a = F.when(few, config.alpha).otherwise(a)
+    p = F.expr("""CASE WHEN rejected >= n * __a THEN 1D ELSE aggregate(sequence(0L, rejected), named_struct('lt', n * ln(1D - __a), 's', 0D),
+        (acc, i) -> named_struct('lt', acc.lt + ln((n - i) / (i + 1)) + ln(__a / (1D - __a)), 's', acc.s + exp(acc.lt)), acc -> acc.s) END""")
+    tested = counts.select("stratum", "n", a.alias("__a"), F.inline(cells)).withColumn("p_value", p)
     passed = tested.where(F.col("p_value") <= config.delta / ladders)
     return passed.groupBy("stratum", "rule").agg(F.max_by(F.struct("cutoff", "n", "rejected", "p_value"), "step").alias("best")).select("stratum", "rule", "best.*")
 

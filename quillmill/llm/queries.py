@@ -46,6 +46,10 @@ def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality_verdicts(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op9_quality_rules_joint(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.quality_verdicts(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), quality.RiskConfig(joint=True))
+
+
 def op10_warc_revisits(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.archive_round_trip(table(spark, sf_dir, "pages"))
 
@@ -56,5 +60,5 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     return corpus_pipeline.run(spark, sf_dir)
 
 
-QUERIES = {f.__name__: f for f in (op1_language_mixture, op2_weighted_minhash, op3_chunk_dedup, op4_secret_scan, op5_cross_polytope, op6_tree_bpe, op7_line_dedup, op8_best_fit_packing, op9_quality_rules, op10_warc_revisits, pipeline)}
+QUERIES = {f.__name__: f for f in (op1_language_mixture, op2_weighted_minhash, op3_chunk_dedup, op4_secret_scan, op5_cross_polytope, op6_tree_bpe, op7_line_dedup, op8_best_fit_packing, op9_quality_rules, op9_quality_rules_joint, op10_warc_revisits, pipeline)}
 

@@ -69,6 +69,40 @@ def test_few_labels_certify_nothing(spark):
     assert Q.quality_verdicts(df, labels).where("NOT kept").isEmpty()
 
 
+def test_few_labels_certify_all_rules_together(spark):
+    df, labels = corpus(spark, 0.0, 400, 50)
+    config = Q.RiskConfig(joint=True)
+    assert cutoffs(df, labels) == {}
+    got = cutoffs(df, labels, config)
+    assert set(got) == {("en", r) for r in config.ladders}
+    assert {(r["n"], r["rejected"]) for r in got.values()} == {(400, 0)}
+    assert all(math.isclose(r["p_value"], 0.98**400, rel_tol=1e-6) for r in got.values())
+    kept = Q.quality_verdicts(df, labels, config)
+    assert kept.where("kept").count() == kept.where("kept AND doc_id < 400").count() == 400
+    assert Q.keep_good(df, labels, config).count() == 400
+
+
+def test_rules_together_keep_the_bound(spark):
+    df, labels = corpus(spark, 0.03, 400, 50)
+    got = cutoffs(df, labels, Q.RiskConfig(joint=True))
+    assert all(r["p_value"] <= 0.05 / 4 for r in got.values())
+    assert ("en", "symbols") not in got or got["en", "symbols"]["cutoff"] >= 0.5
+    df, labels = corpus(spark, 0.0, 200, 50)
+    assert cutoffs(df, labels, Q.RiskConfig(joint=True)) == {}
+
+
+def test_with_many_labels_nothing_is_joint(spark):
+    df, labels = corpus(spark, 0.0)
+    assert cutoffs(df, labels, Q.RiskConfig(joint=True)) == cutoffs(df, labels)
+
+
+def test_joint_sets_are_nested():
+    sets = Q.joint_sets(Q.RiskConfig())
+    for a, b in zip(sets, sets[1:], strict=False):
+        assert all(b[r] <= c for r, c in a.items())
+    assert sets[-1] == {r: cs[-1] for r, cs in Q.RiskConfig().ladders.items()}
+
+
 def test_edges(edge, none, labels):
     rows = Q.quality_verdicts(edge, labels).collect()
     assert len(rows) == edge.count()
