@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from quillmill.llm import linededup, neardup, packing, quality, secrets
 from quillmill.llm.common import shared_dir, table
-from quillmill.llm.vocabularies import byte_level
+from quillmill.llm.vocabularies import byte_level, byte_level_added
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -38,7 +38,7 @@ def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """A row per piece with its place in a sequence."""
-    return packing.best_fit_sequences(docs, byte_level())
+    return packing.best_fit_sequences(docs, byte_level(), added=byte_level_added())
 
 
 STAGES = [

@@ -20,8 +20,10 @@ rows. A sequence's offsets run gapless from 0 to its fill.
 from __future__ import annotations
 
 import heapq
+import re
 import zlib
 from bisect import bisect_left, insort
+from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
@@ -42,18 +44,36 @@ def piece_lengths(n: int, capacity: int) -> list[int]:
     return [n % capacity] * (n % capacity > 0) + [capacity] * (n // capacity)
 
 
-def pieces(docs: DataFrame, encode_with: tuple[str, str], end_id: int, capacity: int = CAPACITY) -> DataFrame:
+def with_added(encode: Callable[[str], list[int]], added: dict[str, int]) -> Callable[[str], list[int]]:
+    """encode, but that texts are cut at added tokens, which stand for their own ids."""
+    if not added:
+        return encode
+    found = re.compile("(" + "|".join(re.escape(a) for a in sorted(added, key=len, reverse=True)) + ")")
+
+    def run(text: str) -> list[int]:
+        ids: list[int] = []
+        for part in found.split(text):
+            if part in added:
+                ids.append(added[part])
+            elif part:
+                ids += encode(part)
+        return ids
+
+    return run
+
+
+def pieces(docs: DataFrame, encode_with: tuple[str, str], end_id: int, capacity: int = CAPACITY, added: dict[str, int] | None = None) -> DataFrame:
     """(doc_id, key, piece, start, length, ids_crc32); key is a hash that tells rows apart."""
     rows = docs.select("doc_id", "text")
     id_type = rows.schema["doc_id"].dataType.simpleString()
 
     def run(batches):
-        c, end = codec(*encode_with), np.array([end_id], "<u4")
+        encode, end = with_added(codec(*encode_with).encode, added or {}), np.array([end_id], "<u4")
         for b in batches:
             of, out = [], []
             for row, t in enumerate(b.column("text")):
                 t = t.as_py() or ""
-                ids = np.concatenate([np.array(c.encode(t), "<u4"), end])
+                ids = np.concatenate([np.array(encode(t), "<u4"), end])
                 start, key = 0, zlib.crc32(t.encode())
                 for k, n in enumerate(piece_lengths(len(ids), capacity)):
                     of.append(row)
@@ -136,6 +156,6 @@ def packed(parts: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     return at.select("doc_id", "piece", "start", ranked["length"], "ids_crc32", (F.col("first") + F.col("rank") - F.col("lo")).alias("sequence_id"), "offset")
 
 
-def best_fit_sequences(docs: DataFrame, encode_with: tuple[str, str], end_id: int = 2, capacity: int = CAPACITY) -> DataFrame:
-    """One row per piece with its place. The pieces are saved once, so ranks, histogram and plan agree."""
-    return packed(saved(pieces(docs, encode_with, end_id, capacity)), capacity)
+def best_fit_sequences(docs: DataFrame, encode_with: tuple[str, str], end_id: int = 2, capacity: int = CAPACITY, added: dict[str, int] | None = None) -> DataFrame:
+    """One row per piece with its place. added are the tokens beyond the rank file. The pieces are saved once, so ranks, histogram and plan agree."""
+    return packed(saved(pieces(docs, encode_with, end_id, capacity, added)), capacity)

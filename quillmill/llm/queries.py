@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from . import annsearch, bpe, chunkdedup, langid, linededup, neardup, packing, quality, secrets, warc
 from .common import table
 from .oracles import ORACLES  # noqa: F401
-from .vocabularies import byte_level
+from .vocabularies import byte_level, byte_level_added
 
 
 def op1_language_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -39,7 +39,7 @@ def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return packing.best_fit_sequences(table(spark, sf_dir, "documents"), byte_level())
+    return packing.best_fit_sequences(table(spark, sf_dir, "documents"), byte_level(), added=byte_level_added())
 
 
 def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,3 +1,4 @@
+import random
 import zlib
 from collections import Counter, defaultdict
 
@@ -6,7 +7,7 @@ import public_tokenizers
 import pytest
 from hypothesis import given, settings, strategies as st
 from quillmill.llm import packing
-from quillmill.llm.vocabularies import byte_level
+from quillmill.llm.vocabularies import byte_level, byte_level_added
 
 
 def checked(rows, capacity=1024):
@@ -80,6 +81,22 @@ def test_pieces_by_the_tokenizers_library(spark, tokenizer):
     assert n <= -(-sum(lengths) // 1024) + 1
 
 
+def test_added_tokens_by_the_default_tokenizer(spark, tmp_path):
+    from quillmill.llm import queries
+    from tokenizers import Tokenizer
+
+    t = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    rng = random.Random(3)
+    parts = ["<|endoftext|>", " ", "a", "é🙂", "\n\n", "<|", "endoftext|>", " word", "<|endoftext|", "x  y"]
+    texts = ["a <|endoftext|> b", *("".join(rng.choices(parts, k=rng.randint(0, 12))) for _ in range(300))]
+    spark.createDataFrame([(k, x, "en", "src0", len(x)) for k, x in enumerate(texts)], "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    want = {k: [*t.encode(x, add_special_tokens=False).ids, 2] for k, x in enumerate(texts)}
+    assert want[0] == [64, 220, 50256, 275, 2]
+    got = {r["doc_id"]: (r["length"], r["ids_crc32"]) for r in queries.op8_best_fit_packing(spark, str(tmp_path)).collect()}
+    assert got == {k: (len(ids), zlib.crc32(np.array(ids, "<u4").tobytes())) for k, ids in want.items()}
+    assert byte_level_added() == {"<|endoftext|>": 50256}
+
+
 def test_edges(edge, none):
     rows = packing.best_fit_sequences(edge, byte_level()).collect()
     checked(rows)
