@@ -249,35 +249,59 @@ def word_window_split(spark, sf_dir):
     return rows.groupBy("register", "is_test").agg(F.count("*").alias("windows"), F.countDistinct("doc_id").alias("chapters"), F.sum(F.length("window")).alias("chars"))
 
 
-def _grams(spark, sf_dir):
-    rows = classifier.word_windows(views.chapters(spark, sf_dir), 100).withColumn("key", F.concat_ws("/", "doc_id", "win_idx"))
+def _grams(spark, sf_dir, size, most):
+    rows = classifier.word_windows(views.chapters(spark, sf_dir), size).withColumn("key", F.concat_ws("/", "doc_id", "win_idx"))
     counts = classifier.grams(rows, "key").persist()
-    return rows, counts, classifier.vocabulary(counts, rows.agg(F.count("*").alias("n")), 2000)
+    return rows, counts, classifier.vocabulary(counts, rows.agg(F.count("*").alias("n")), most)
+
+
+#: Words of a window and terms, of the tf-idf queries' SQL and of the reference.
+TFIDF_SQL, TFIDF_WHOLE = (100, 2000), (500, 20_000)
+
+
+def _tfidf_terms(spark, sf_dir, of):
+    return _grams(spark, sf_dir, *of)[2].select("term", "df", "total", rounded(F.col("idf")).alias("idf"))
+
+
+def _tfidf_weights(spark, sf_dir, of):
+    _, counts, terms = _grams(spark, sf_dir, *of)
+    return classifier.tf_idf(counts, terms, "key").groupBy("key").agg(F.count("*").alias("n"), F.round(F.sum("weight"), 5).alias("total"))
 
 
 @query
 def tfidf_terms(spark, sf_dir):
+    """M1 at the size of its SQL: the vocabulary with document frequencies."""
+    return _tfidf_terms(spark, sf_dir, TFIDF_SQL)
+
+
+@query
+def whole_tfidf_terms(spark, sf_dir):
     """M1: the vocabulary with document frequencies."""
-    return _grams(spark, sf_dir)[2].select("term", "df", "total", rounded(F.col("idf")).alias("idf"))
+    return _tfidf_terms(spark, sf_dir, TFIDF_WHOLE)
 
 
 @query
 def tfidf_weights(spark, sf_dir):
+    """M1 at the size of its SQL: sublinear tf-idf of unit length, summed up per window."""
+    return _tfidf_weights(spark, sf_dir, TFIDF_SQL)
+
+
+@query
+def whole_tfidf_weights(spark, sf_dir):
     """M1: sublinear tf-idf of unit length, summed up per window."""
-    _, counts, terms = _grams(spark, sf_dir)
-    return classifier.tf_idf(counts, terms, "key").groupBy("key").agg(F.count("*").alias("n"), F.round(F.sum("weight"), 5).alias("total"))
+    return _tfidf_weights(spark, sf_dir, TFIDF_WHOLE)
 
 
 @query
 def style_classifier(spark, sf_dir):
     """A classifier of languages by tf-idf of word windows, reported on held-out chapters."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", F.col("lang").alias("label"))
-    rows = classifier.group_split(classifier.word_windows(docs, 100)).withColumn("key", F.concat_ws("/", "doc_id", "win_idx"))
+    rows = classifier.group_split(classifier.word_windows(docs)).withColumn("key", F.concat_ws("/", "doc_id", "win_idx"))
     train = rows.where("NOT is_test")
-    terms = classifier.vocabulary(classifier.grams(train, "key"), train.agg(F.count("*").alias("n")), 2000).cache()
+    terms = classifier.vocabulary(classifier.grams(train, "key"), train.agg(F.count("*").alias("n"))).cache()
     features = classifier.vectors(classifier.tf_idf(classifier.grams(rows, "key"), terms, "key"), terms, "key")
     named = features.join(rows.select("key", "label", "is_test"), "key").cache()
-    fitted = classifier.train(named.where("NOT is_test").select("label", "features"), steps=30)
+    fitted = classifier.train(named.where("NOT is_test").select("label", "features"))
     report = classifier.class_report(fitted.transform(named.where("is_test")))
     return report.select("class", "support", *(rounded(F.col(c), 3).alias(c) for c in ("precision", "recall", "f1")))
 

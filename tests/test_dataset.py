@@ -182,3 +182,32 @@ def test_whole_chunks_lose_no_token(spark):
     assert made.agg(F.sum(tokenizers.token_count(F.col("text")))).first()[0] == want
     assert made.agg(F.max("n_tokens")).first()[0] <= views.CHUNK_TOKENS
     assert registry.QUERIES["whole_greedy_chunks"](spark, SMALL).count() == made.count() > registry.QUERIES["greedy_chunks"](spark, SMALL).count()
+
+
+def test_whole_tfidf_by_brute_force(spark):
+    import re
+    from collections import Counter
+
+    folder = SMALL.replace("0.001", "0.01")
+    rows = classifier.word_windows(views.chapters(spark, folder)).collect()
+    df, total = Counter(), Counter()
+    for r in rows:
+        w = [x.lower() for x in re.findall(r"[a-zA-Z][a-zA-Z'-]*[a-zA-Z]|[a-zA-Z][a-zA-Z]", r["window"])]
+        tf = Counter([*w, *map(" ".join, zip(w, w[1:], strict=False))])
+        df.update(tf.keys())
+        total.update(tf)
+    best = sorted((t for t in df if df[t] >= 5), key=lambda t: (-total[t], t))[:20_000]
+    got = {r["term"]: (r["df"], r["total"]) for r in registry.QUERIES["whole_tfidf_terms"](spark, folder).collect()}
+    assert got == {t: (df[t], total[t]) for t in best}
+    assert len(got) > 2000
+    weighed = registry.QUERIES["whole_tfidf_weights"](spark, folder)
+    assert weighed.agg(F.sum("n")).first()[0] == sum(df[t] for t in best)
+
+
+def test_the_style_classifier_is_the_reference_s(spark, monkeypatch):
+    seen = {}
+    for name, at in (("word_windows", 1), ("vocabulary", 2), ("train", 3)):
+        f = getattr(classifier, name)
+        monkeypatch.setattr(classifier, name, lambda *a, _f=f, _n=name, _at=at, **k: seen.update({_n: (a[_at:], k)}) or _f(*a, **k))
+    assert registry.QUERIES["style_classifier"](spark, SMALL).count() > 0
+    assert seen == {"word_windows": ((), {}), "vocabulary": ((), {}), "train": ((), {})}
