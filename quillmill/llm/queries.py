@@ -26,6 +26,10 @@ def op4_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.secret_report(table(spark, sf_dir, "documents"))
 
 
+def op4_secret_scan_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.secret_report(table(spark, sf_dir, "documents"), rules=secrets.WHOLE_RULES)
+
+
 def op5_cross_polytope(spark: SparkSession, sf_dir: str) -> DataFrame:
     return annsearch.search_table(table(spark, sf_dir, "embeddings"))
 
@@ -60,5 +64,5 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     return corpus_pipeline.run(spark, sf_dir)
 
 
-QUERIES = {f.__name__: f for f in (op1_language_mixture, op2_weighted_minhash, op3_chunk_dedup, op4_secret_scan, op5_cross_polytope, op6_tree_bpe, op7_line_dedup, op8_best_fit_packing, op9_quality_rules, op9_quality_rules_joint, op10_warc_revisits, pipeline)}
+QUERIES = {f.__name__: f for f in (op1_language_mixture, op2_weighted_minhash, op3_chunk_dedup, op4_secret_scan, op4_secret_scan_whole, op5_cross_polytope, op6_tree_bpe, op7_line_dedup, op8_best_fit_packing, op9_quality_rules, op9_quality_rules_joint, op10_warc_revisits, pipeline)}
 

@@ -54,6 +54,9 @@ MORE_RULES = (
     Rule("bearer", r"\b[Bb]earer [A-Za-z0-9._~+/-]{20,}=*", "[Bb]earer "),
 )
 RULES = BASE_RULES + MORE_RULES
+#: A private key up to its END line if one follows, whatever its body looks like; else the headers and runs of base64 that stand there. SQL's patterns can't express it, so RULES keeps the shorter one.
+WHOLE_PEM = Rule("pem", r"-----BEGIN [A-Z ]{0,20}PRIVATE KEY-----(?:(?:(?!-----)[\s\S])*+-----END [A-Z ]{0,20}PRIVATE KEY-----|(?:\s*+(?:Proc-Type|DEK-Info):[^\n]*+)*+(?:\s*+[A-Za-z0-9+/=]{16,}+)*+)", "PRIVATE KEY-----")
+WHOLE_RULES = tuple(WHOLE_PEM if r.kind == "pem" else r for r in RULES)
 
 
 def rules_version(rules: tuple[Rule, ...] = RULES) -> str:

@@ -32,6 +32,19 @@ def test_more_kinds(spark):
     assert rows[6] == ""
 
 
+def test_a_private_key_goes_whole(spark):
+    body = "MIIEpAIBAAKCAQEA" * 40
+    begin, end = "-----BEGIN RSA PRIVATE KEY-----", "-----END RSA PRIVATE KEY-----"
+    headed = f"{begin}\nProc-Type: 4,ENCRYPTED\nDEK-Info: AES-128-CBC,0A1B\n\n{body[:64]}\n{body[64:100]}\n"
+    texts = [f"{begin}{body}{end}", f"{begin}\n{body}\n{end}", f"{begin} {body} {end}", headed + end, f"{begin}\\n{body}\\n{end}", f"{begin}\n> {body[:64]}\n> {end}"]
+    open_ended = [f"{begin}\n{body}", headed.rstrip()]
+    df = spark.createDataFrame([(k, f"see {t} so") for k, t in enumerate([*texts, *open_ended])], "doc_id long, text string")
+    assert {r["text"] for r in S.redact(df, rules=S.WHOLE_RULES).collect()} == {"see [pem] so"}
+    assert S.Scanner(S.WHOLE_RULES)(f"{begin}\n{texts[0]} prose {texts[1]}")[0][2] == len(begin)
+    many = begin * 20_000
+    assert len(S.Scanner(S.WHOLE_RULES)(many)) == 20_000
+
+
 def test_hints_are_implied_by_their_rules(spark):
     df = spark.createDataFrame([(t,) for t in TEXTS], "text string")
     for r in S.RULES:
