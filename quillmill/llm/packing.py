@@ -29,8 +29,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
-from .bpe import codec
 from .common import parallelism, saved
+from .vocabularies import library_encoder
 
 CAPACITY = 1024
 #: More slot ranges than this are joined by shuffle instead of broadcast.
@@ -68,7 +68,7 @@ def pieces(docs: DataFrame, encode_with: tuple[str, str], end_id: int, capacity:
     id_type = rows.schema["doc_id"].dataType.simpleString()
 
     def run(batches):
-        encode, end = with_added(codec(*encode_with).encode, added or {}), np.array([end_id], "<u4")
+        encode, end = with_added(library_encoder(*encode_with), added or {}), np.array([end_id], "<u4")
         for b in batches:
             of, out = [], []
             for row, t in enumerate(b.column("text")):

@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import base64
 import json
+from collections.abc import Callable
+from functools import lru_cache
 
 
 def byte_level() -> tuple[str, str]:
@@ -22,3 +25,13 @@ def byte_level_added() -> dict[str, int]:
     if not plain:
         raise ValueError("added tokens that take in their surroundings aren't handled")
     return {t["content"]: t["id"] for t in tokens}
+
+
+@lru_cache(maxsize=4)
+def library_encoder(ranks_path: str, pattern: str) -> Callable[[str], list[int]]:
+    """The tiktoken library's encoding of ordinary text; one per Python worker."""
+    import tiktoken
+
+    with open(ranks_path, "rb") as f:
+        ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
+    return tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=ranks, special_tokens={}).encode_ordinary

@@ -1,6 +1,9 @@
 import base64
 import hashlib
+import random
+from pathlib import Path
 
+import pyarrow.parquet as pq
 import pytest
 import tiktoken
 from hypothesis import given, settings, strategies as st
@@ -18,7 +21,7 @@ def reference():
 
 @pytest.fixture(scope="module")
 def small():
-    return bpe.Codec(*byte_level(), leaf=5)
+    return bpe.Codec(*byte_level(), leaf=5, least=3)
 
 
 @settings(max_examples=400, deadline=None)
@@ -41,6 +44,53 @@ def test_long_runs(reference, small, text):
     assert bpe.Codec(*byte_level()).encode(text * 20) == reference.encode_ordinary(text * 20)
 
 
+def test_long_matches_join_in_small_windows(reference):
+    """A match without a seam in sight is reduced up the tree, and merges look at few bytes each."""
+    rng = random.Random(3)
+    text = "".join(rng.choice("abcdefghij") for _ in range(40_000))
+    c, most = bpe.Codec(*byte_level()), 0
+    merged = c._merged
+
+    def watched(data):
+        nonlocal most
+        most = max(most, len(data))
+        return merged(data)
+
+    c._merged = watched
+    assert c.encode(text) == reference.encode_ordinary(text)
+    assert most <= 4 * bpe.LEAST and c.joins == -(-len(text) // bpe.LEAF) - 1
+    for run in ("=" * 50_001, "ab" * 20_000, "\x00" * 3000):
+        assert c.encode(run) == reference.encode_ordinary(run)
+
+
+def test_windows_of_any_size(small):
+    """Both ways to merge give the same tokens."""
+    rng = random.Random(5)
+    for n in (1, 2, 70, 400):
+        data = "".join(rng.choice("the ring=é") for _ in range(n)).encode()
+        whole = small._merged_long(data)
+        small.least, was = 10**9, small.least
+        assert small._merged(data) == whole
+        small.least = was
+
+
+def test_most_documents_go_through_the_tree():
+    docs = pq.read_table("/root/testdata/sf0.01/documents.parquet", columns=["text"])["text"].to_pylist()
+    c, joined = bpe.Codec(*byte_level()), 0
+    for t in docs:
+        before = c.joins
+        c.encode(t)
+        joined += c.joins > before
+    assert joined > 0.6 * len(docs)
+    assert "tiktoken" not in Path(bpe.__file__).read_text()
+
+
+def test_results_may_be_forgotten(reference, monkeypatch):
+    monkeypatch.setattr(bpe, "KEPT", 3)
+    text = "one two three four five, six! seven eightnineten\n" * 30
+    assert bpe.Codec(*byte_level(), leaf=7, least=2).encode(text) == reference.encode_ordinary(text)
+
+
 def test_documents(spark, reference):
     df = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
     texts = {r["doc_id"]: r["text"] for r in df.collect()}
