@@ -1,16 +1,20 @@
 """Near-duplicate classes by improved consistent weighted sampling.
 
 A document is a weighted set: its shingles of five words (in lower case, without
-punctuation), each weighing its count times an inverse document frequency. Document frequencies are counted over all
-documents in a hashed table of fixed size (2^20 counters), so the table that
-travels to the workers doesn't grow with the corpus; shingles that share a counter
-share a frequency, which is relative to the corpus and so keeps its meaning at any
-size. The frequency weight is 1 up to the share ``common`` of all documents and
-falls beyond it: boilerplate of the whole corpus is discounted, while the shingles
-of a group of copies are not, although the group may hold a third of all documents
-(discounted there, each member's own few edits would outweigh all that it shares).
-Documents are similar if their weighted Jaccard similarity (sum of minima over sum
-of maxima) is at least ``threshold``.
+punctuation), each weighing its count times an inverse document frequency. Document
+frequencies are counted over all documents in a hashed table of fixed size (2^20
+counters), so the table that travels to the workers doesn't grow with the corpus;
+shingles that share a counter share a frequency. The frequency weight of a share f of
+all documents is (a + ln 1/f) / (a + ln 1/f0): the logarithm of the inverse frequency
+over its whole range, on top of a constant a = ``smoothing`` * ln 1/f0. Shares below
+f0 = ``rarest`` count as f0, so the weight means the same at any size of the corpus.
+The constant bounds the range of weights to 1 + 1 / smoothing, 4 to 3 by default. It
+has to be there: the shingles of a group of copies that holds a third of all
+documents are as frequent as boilerplate, and by the bare logarithm each member's own
+few edits would outweigh all that it shares. With it every pair of plain similarity
+of at least 0.8422 is similar (s / (s + (1 - s) 4 / 3) = 0.8), whatever its group's
+size, and none below 0.75. Documents are similar if their weighted Jaccard similarity (sum
+of minima over sum of maxima) is at least ``threshold``.
 
 Sampling follows Ioffe's improved consistent weighted sampling: an element of
 weight w draws r, c ~ Gamma(2,1) and b ~ U(0,1) from its own hash, takes
@@ -35,7 +39,7 @@ compared once. Classes are the connected components of the verified links.
 With similarity s a pair shares one of 32 bands of four samples with probability
 1 - (1 - s^4)^32: at 0.8 all but 5 in 10^8 in the limit of long texts.
 
-Defined results: a document's class is the smallest doc_id in it. Texts without a
+Defined results: ids are whole numbers; other types are refused. A document's class is the smallest doc_id in it. Texts without a
 word (null, empty, white space) have no shingles and are alone. Rows that repeat an
 id are one document; with different texts, it is linked by any of them. Rows without an id have no class (null). An empty table
 gives no rows.
@@ -48,8 +52,9 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
+from pyspark.sql.types import IntegralType
 
-from .common import filled_text, private, saved
+from .common import filled_text, private, released, removed, saved, stored
 from .components import components
 from .shingles import document_shingles, mix, sliced
 
@@ -61,7 +66,8 @@ _BLOCKS = 1024
 class Sampling:
     size: int = 5  #: words in a shingle
     threshold: float = 0.8
-    common: float = 0.4  #: share of documents up to which a shingle has full weight
+    smoothing: float = 3.0  #: constant part of the frequency weight against the largest logarithm
+    rarest: float = 1e-4  #: share of documents below which a shingle is no rarer
     passes: int = 2  #: independent ways to deal elements into bins
     bins: int = 64  #: of each pass; a bin gives one sample
     rows: int = 4  #: samples in a band
@@ -101,9 +107,11 @@ def frequencies(docs: DataFrame, size: int = 5) -> tuple[np.ndarray, int]:
     return df, n
 
 
-def log_idf(df: np.ndarray, n: int, common: float) -> np.ndarray:
-    """ln of the weight of every counter: ln(1 + n / df) against its value at the share common, at most 1."""
-    return np.log(np.minimum(1.0, np.log1p(max(n, 1) / np.maximum(df, 1)) / np.log1p(1 / common))).astype(np.float32)
+def log_idf(df: np.ndarray, n: int, s: Sampling) -> np.ndarray:
+    """ln of the weight of every counter."""
+    most = -np.log(s.rarest)
+    inverse = np.minimum(np.log(max(n, 1) / np.clip(df, 1, max(n, 1))), most)
+    return np.log((s.smoothing * most + inverse) / (s.smoothing * most + most)).astype(np.float32)
 
 
 def log_weights(shingles: np.ndarray, counts: np.ndarray, logs: np.ndarray) -> np.ndarray:
@@ -311,9 +319,12 @@ def _compared(opened: DataFrame, texts: DataFrame, logs, s: Sampling) -> DataFra
 
 def near_duplicate_classes(docs: DataFrame, s: Sampling = Sampling()) -> DataFrame:
     """doc_id and class_id of every row."""
+    spark, kind = docs.sparkSession, docs.schema["doc_id"].dataType
+    if not isinstance(kind, IntegralType):
+        raise TypeError(f"doc_id must be a whole number, not {kind.simpleString()}")
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     df, n = frequencies(docs, s.size)
-    logs = docs.sparkSession.sparkContext.broadcast(log_idf(df, n, s.common))
+    logs = spark.sparkContext.broadcast(log_idf(df, n, s))
     signed = saved(_signed(docs, logs, s))
     known = signed.where("doc_id IS NOT NULL AND keys IS NOT NULL")
     # One node for equal texts: the smallest document that has the text.
@@ -322,12 +333,19 @@ def near_duplicate_classes(docs: DataFrame, s: Sampling = Sampling()) -> DataFra
     members = nodes.select(F.explode("keys").alias("key"), F.col("doc_id").alias("doc")).distinct()
     buckets = members.groupBy("key").agg(F.min("doc").alias("rep"), F.max("doc").alias("most")).where("rep < most").drop("most")
     members = saved(members.join(buckets, "key"))
-    texts = docs.join(firsts.select(F.col("node")).distinct(), F.col("doc_id") == F.col("node"), "left_semi").select(F.col("doc_id").alias("node"), filled_text().alias("text"))
+    # Only documents that share a bucket are looked at again; the others' texts move once at most.
+    sharing = members.select("doc").distinct()
+    texts, path = stored(docs.join(sharing, F.col("doc_id") == F.col("doc"), "left_semi").select(F.col("doc_id").alias("node"), filled_text().alias("text")))
+    released(spark)
 
     tried = saved(members.where("doc > rep").groupBy("doc").agg(F.min("rep").alias("rep")))
     sure = saved(_verified(tried, texts, logs, s))
+    released(spark)
     opened = saved(_open_buckets(members, tried, components(sure)))
+    released(spark)
     more = saved(_compared(opened, texts, logs, s))
+    removed(spark, path)
+    released(spark)
     classes = components(sure.unionByName(more))
 
     named = firsts.join(classes, "node", "left").select(F.col("digest").alias("d"), F.coalesce("component", "node").alias("class"))

@@ -19,7 +19,7 @@ def brute(ids, texts, s=neardup.Sampling()):
     df = np.zeros(1 << neardup._BITS, np.int64)
     for x, _ in sets:
         df[np.unique((x >> np.uint64(64 - neardup._BITS)).astype(np.int64))] += 1
-    logs = neardup.log_idf(df, len(texts), s.common)
+    logs = neardup.log_idf(df, len(texts), s)
     weighted = [(x, np.exp(neardup.log_weights(x, c, logs))) for x, c in sets]
     up = dict(zip(ids, ids, strict=True))
 
@@ -85,18 +85,50 @@ def test_similarities_are_exact():
                 assert got[i, j] == pytest.approx(neardup.weighted_jaccard(wa, wb))
 
 
-def test_a_sample_agrees_as_often_as_sets_are_similar():
-    rng = np.random.default_rng(2)
-    common, s = rng.integers(0, 2**63, 800).astype(np.uint64), neardup.Sampling()
-    a, b = np.r_[common, rng.integers(0, 2**63, 100).astype(np.uint64)], np.r_[common, rng.integers(0, 2**63, 100).astype(np.uint64)]
-    codes = neardup.samples(np.r_[a, b], np.zeros(1800), np.repeat([0, 1], 900), 2, s)
-    assert (codes[0] == codes[1]).mean() == pytest.approx(0.8, abs=0.12)
-
-
-def test_weight_is_full_up_to_the_common_share():
-    w = np.exp(neardup.log_idf(np.array([1, 33, 40, 70, 100]), 100, 0.4))
-    assert w[:3] == pytest.approx([1, 1, 1])
-    assert w[4] < w[3] < 1
+@pytest.mark.parametrize("share", [0.2, 0.4, 0.6, 0.8, 0.9, 0.96])
+def test_samples_estimate_weighted_similarity(share):
+    """Dealt into bins or not, samples agree as often as the sets are similar, with uneven weights too."""
+    rng, s, errors = np.random.default_rng(2), neardup.Sampling(), []
+    for _ in range(40):
+        n = int(rng.integers(200, 900))
+        both, own = int(n * share), n - int(n * share)
+        common = rng.integers(0, 2**63, both).astype(np.uint64)
+        a, b = (np.r_[common, rng.integers(0, 2**63, own).astype(np.uint64)] for _ in range(2))
+        w = np.r_[rng.uniform(0.75, 4, both), rng.uniform(0.75, 4, own)]
+        codes = neardup.samples(np.r_[a, b], np.log(np.r_[w, w]), np.repeat([0, 1], n), 2, s)
+        true = w[:both].sum() / (w[:both].sum() + 2 * w[both:].sum())
+        errors.append((codes[0] == codes[1]).mean() - true)
+    assert abs(np.mean(errors)) < 0.015
+    assert np.std(errors) < 0.06  # 128 independent samples have at most 0.044
+
+
+def test_weights_follow_the_inverse_frequency_in_bounds():
+    s, n = neardup.Sampling(), 1_000_000
+    w = np.exp(neardup.log_idf(np.array([1, 100, 1000, 10_000, 100_000, 400_000, n]), n, s))
+    assert w[0] == pytest.approx(1) and w[1] == pytest.approx(1) and w[-1] == pytest.approx(0.75)
+    assert (np.diff(w[1:]) < -0.01).all()
+    assert np.diff(w[1:5]) == pytest.approx([-1 / 16] * 3)  # a tenfold share costs a quarter of a quarter
+
+
+def test_copies_in_a_group_of_a_third_are_found(spark):
+    """Every two members differ in edits of their own; what they share is as frequent as boilerplate."""
+    rng = random.Random(8)
+    base, rows = [f"b{k}" for k in range(200)], []
+    for k in range(300):
+        words = [f"x{k}y{j}" for j in range(200)]
+        if k % 3 == 0:
+            words = list(base)
+            for at in rng.sample(range(5, 195), 1):
+                words[at] = f"edit{k}"
+        rows.append((k, " ".join(words)))
+    got = classes(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert {got[k] for k in range(0, 300, 3)} == {0}
+    assert all(got[k] == k for k in range(300) if k % 3)
+
+
+def test_other_ids_are_refused(spark):
+    with pytest.raises(TypeError, match="whole number"):
+        neardup.near_duplicate_classes(spark.createDataFrame([("a", "b")], "doc_id string, text string"))
 
 
 def test_edges(edge, none):
