@@ -11,11 +11,15 @@ documents hold it, and its first holder is the smallest of them.
 
 Neighbouring repeated chunks make a run. The report lists runs of at least
 ``least_words`` words; single short chunks that documents share by chance, or a
-shared heading, stay out. A repeated passage loses up to a chunk at either end.
+shared heading, stay out. A run is listed in parts where some of its chunks have the
+document itself as first holder and others don't, so what a part says holds for all of
+it. A repeated passage loses up to a chunk at either end.
 
-Digests are counted by partial aggregation, and joined back to the chunks in a
-join that adaptive execution splits, so a passage in a third of all documents
-gathers nowhere.
+Digests are counted by partial aggregation. Those that hold more than 1 / (4 x
+partitions) of all repeated chunks, fewer than four times the partitions, are hot: they
+travel to the tasks that cut the chunks, and their chunks are dealt on by place
+instead of digest. The others are joined back by digest. So a passage in a third of
+all documents gathers nowhere.
 
 Defined results: null text is empty and has no chunks. Rows without an id take no
 part. Rows that repeat an id are one document: what only they share is not
@@ -30,7 +34,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .common import filled_text, private
+from .common import filled_text, parallelism, private, saved
 
 _GEAR = np.random.default_rng(16).integers(0, 1 << 16, 256, dtype=np.uint16)
 _BLANK = np.zeros(256, bool)
@@ -131,14 +135,37 @@ def chunks(docs: DataFrame, c: Chunking = Chunking()) -> DataFrame:
 def repeated_chunks(docs: DataFrame, c: Chunking = Chunking()) -> DataFrame:
     """The chunks that at least two documents hold, with the smallest of those as first."""
     every = chunks(docs, c)
-    held = every.groupBy("hi", "lo").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where("first <> last").drop("last")
-    return every.join(held, ["hi", "lo"])
+    held = every.groupBy("hi", "lo").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last"), F.count("*").alias("n"))
+    held = saved(held.where("first <> last").select(F.col("hi").alias("h"), F.col("lo").alias("l"), "first", "n"))
+    most = (held.agg(F.sum("n")).first()[0] or 0) / (4 * parallelism(docs.sparkSession))
+    hot = F.broadcast(held.where(F.col("n") > most).select(F.col("h").alias("hi"), F.col("l").alias("lo"), F.col("first").alias("hot_first")))
+    dealt = every.join(hot, ["hi", "lo"], "left")
+    dealt = dealt.withColumn("by", F.when(F.col("hot_first").isNotNull(), F.xxhash64("doc_id", "start")).otherwise(F.col("hi")))
+    joined = dealt.join(held.where(F.col("n") <= most).drop("n"), (F.col("by") == F.col("h")) & (F.col("lo") == F.col("l")), "left")
+    return joined.select("doc_id", "start", "size", "words", F.coalesce("hot_first", "first").alias("first")).where("first IS NOT NULL")
+
+
+def runs_of(parts: list[dict], doc_id, least_words: int) -> list[list]:
+    """[start, stop, n_chunks, n_words, first] of the listed parts of runs, from a document's repeated chunks in order."""
+    out, run = [], []
+    for p in [*parts, None]:
+        if p is not None and run and p["start"] == run[-1]["start"] + run[-1]["size"]:
+            run.append(p)
+            continue
+        if sum(x["words"] for x in run) >= least_words:
+            for x in run:
+                if out and out[-1][1] == x["start"] and (out[-1][4] == doc_id) == (x["first"] == doc_id):
+                    out[-1][1:4] = x["start"] + x["size"], out[-1][2] + 1, out[-1][3] + x["words"]
+                else:
+                    out.append([x["start"], x["start"] + x["size"], 1, x["words"], x["first"]])
+        run = [] if p is None else [p]
+    return out
 
 
 def repeated_runs(docs: DataFrame, c: Chunking = Chunking()) -> DataFrame:
     """Runs of repeated chunks: doc_id, start and stop in code points, n_chunks, n_words, first_doc_id.
 
-    first_doc_id is the smallest document that holds the run's first chunk.
+    first_doc_id is the smallest document that holds the first chunk listed.
     """
     found = repeated_chunks(docs, c).groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("start", "size", "words", "first"))).alias("parts"))
     id_type = docs.schema["doc_id"].dataType.simpleString()
@@ -146,20 +173,10 @@ def repeated_runs(docs: DataFrame, c: Chunking = Chunking()) -> DataFrame:
     def run(batches):
         for b in batches:
             of, rows = [], []
-            for row, parts in enumerate(b.column("parts").to_pylist()):
-                now = None
-                for p in parts:
-                    stop = p["start"] + p["size"]
-                    if now is not None and p["start"] == now[1]:
-                        now = [now[0], stop, now[2] + 1, now[3] + p["words"], now[4]]
-                    else:
-                        if now is not None and now[3] >= c.least_words:
-                            of.append(row)
-                            rows.append(now)
-                        now = [p["start"], stop, 1, p["words"], p["first"]]
-                if now is not None and now[3] >= c.least_words:
-                    of.append(row)
-                    rows.append(now)
+            for row, (doc_id, parts) in enumerate(zip(b.column("doc_id").to_pylist(), b.column("parts"), strict=True)):
+                found = runs_of(parts.as_py(), doc_id, c.least_words)
+                of += [row] * len(found)
+                rows += found
             columns = list(zip(*rows, strict=True)) or [()] * 5
             kinds = (pa.int32(), pa.int32(), pa.int32(), pa.int32(), b.schema.field("doc_id").type)
             yield pa.RecordBatch.from_arrays([b.column("doc_id").take(pa.array(of, pa.int64())), *(pa.array(x, k) for x, k in zip(columns, kinds, strict=True))], ["doc_id", "start", "stop", "n_chunks", "n_words", "first_doc_id"])

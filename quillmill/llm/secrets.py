@@ -6,6 +6,10 @@ found in them. A scan of new versions reads only the texts of pairs that the
 ledger lacks, one text per blob, and joins the findings back to all paths
 (documents) that hold the blob. A rule set's version is a digest of its rules,
 so a changed rule set scans every blob anew and an unchanged one scans nothing.
+``extended`` stores what a batch of versions adds to a ledger; the query takes its
+table as a history of ``batches`` parts, scans each against the ledger of those before,
+and reports all paths from the stored ledger alone. A ledger may be read from any table
+with its columns; pairs that it holds twice count once.
 
 Before a text is moved or handed to Python, one JVM regular expression decides
 whether any rule can match at all; most texts end there, in the ledger as clean.
@@ -28,7 +32,7 @@ from dataclasses import dataclass
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .common import filled_text, private
+from .common import filled_text, private, saved
 
 
 @dataclass(frozen=True)
@@ -115,18 +119,28 @@ def scan_new(docs: DataFrame, ledger: DataFrame | None = None, rules: tuple[Rule
 
 def findings(docs: DataFrame, ledger: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
     """(path, blob, found) of every row of docs, from a ledger that knows its blobs."""
-    known = ledger.where((F.col("version") == rules_version(rules)) & (F.size("found") > 0)).select(F.col("blob").alias("__blob"), "found")
+    known = ledger.where((F.col("version") == rules_version(rules)) & (F.size("found") > 0)).dropDuplicates(["blob"]).select(F.col("blob").alias("__blob"), "found")
     # Only blobs with findings are joined; a hot one is split by adaptive execution.
     at = _addressed(docs)
     return at.join(known, F.col("blob") == F.col("__blob"), "left").select("path", "blob", F.coalesce("found", F.expr(f"CAST(array() AS {FINDINGS})")).alias("found"))
 
 
-def secret_report(docs: DataFrame, ledger: DataFrame | None = None, rules: tuple[Rule, ...] = RULES) -> DataFrame:
-    """Counts, digest and spans of every document."""
-    fresh = scan_new(docs, ledger, rules)
-    old = ledger if ledger is not None else None
-    book = fresh.where(F.size("found") > 0)
-    book = book.unionByName(old.where(F.size("found") > 0)) if old is not None else book
+def extended(ledger: DataFrame, docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
+    """ledger with the pairs of docs that it lacked, stored."""
+    return ledger.unionByName(saved(scan_new(docs, ledger, rules)))
+
+
+def ledger_of(docs: DataFrame, rules: tuple[Rule, ...] = RULES, batches: int = 2) -> DataFrame:
+    """The ledger after docs came in batches; a hash of the path picks a row's batch."""
+    ledger = empty_ledger(docs.sparkSession)
+    for k in range(batches):
+        ledger = extended(ledger, docs.where(F.pmod(F.xxhash64("doc_id"), F.lit(batches)) == k), rules)
+    return ledger
+
+
+def secret_report(docs: DataFrame, ledger: DataFrame | None = None, rules: tuple[Rule, ...] = RULES, batches: int = 2) -> DataFrame:
+    """Counts, digest and spans of every document, by a ledger of its own history or by one that is extended."""
+    book = ledger_of(docs, rules, batches) if ledger is None else extended(ledger, docs, rules)
     found = findings(docs, book, rules)
     kinds = F.array(*(F.lit(r.kind) for r in rules))
     joined = lambda spans: F.array_join(F.transform(spans, lambda s: F.concat_ws(":", F.element_at(kinds, s["kind"] + 1), s["start"], s["stop"])), ",")
@@ -155,7 +169,7 @@ def redact(docs: DataFrame, ledger: DataFrame | None = None, rules: tuple[Rule,
     book = scan_new(docs, ledger, rules)
     if ledger is not None:
         book = book.unionByName(ledger.where(F.col("version") == rules_version(rules)))
-    book = book.where(F.size("found") > 0).select(F.col("blob").alias(known_blob), F.col("found").alias(found))
+    book = book.where(F.size("found") > 0).dropDuplicates(["blob"]).select(F.col("blob").alias(known_blob), F.col("found").alias(found))
     suspect = F.coalesce(F.col("text").rlike("|".join(r.hint for r in rules)), F.lit(False))
     moved = docs.where(suspect).withColumn(blob, F.unhex(F.sha2(filled_text().cast("binary"), 256)))
     moved = moved.join(book, F.col(blob) == F.col(known_blob), "left").drop(blob, known_blob)

@@ -36,7 +36,7 @@ from datetime import UTC, datetime
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from .common import saved, shared_dir
+from .common import removed, saved, shared_dir
 
 CRLF = "\r\n"
 _HEX32, _BASE32 = "0123456789ABCDEFGHIJKLMNOPQRSTUV", "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
@@ -244,8 +244,10 @@ def read_archives(spark: SparkSession, path: str, payloads: bool = True) -> Data
 
 
 def archive_round_trip(pages: DataFrame, least_bytes: int = 0) -> DataFrame:
-    """Write all pages to archives in the shared folder and list what they hold."""
+    """Write all pages to archives in the shared folder, list what they hold and remove them."""
     spark = pages.sparkSession
     path = f"{shared_dir(spark)}/warc-{uuid.uuid4().hex}"
     write_archives(pages, path, least_bytes)
-    return read_archives(spark, path, payloads=False).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+    listed = saved(read_archives(spark, path, payloads=False).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"))
+    removed(spark, path)
+    return listed

@@ -1,3 +1,4 @@
+import dataclasses
 import hashlib
 import random
 
@@ -74,6 +75,49 @@ def test_insertions_and_deletions_are_reversible(spark, rows):
         assert filters[r["shard"]].contains(np.array([int.from_bytes(r["key"][:8], "little", signed=True)], np.int64))[0]
 
 
+def test_inserting_a_document_again_changes_nothing(spark, rows):
+    rows = [r for r in rows if r[0] is not None]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    once = L.new_index(df, batches=3)
+    assert as_rows(once) == as_rows(L.new_index(df))
+    twice = L.insert(once, df.where("doc_id < 70"))
+    assert as_rows(twice) == as_rows(once)
+    # A new version of a document adds the keys that it didn't hold, and no others.
+    more = L.insert(once, spark.createDataFrame([(1, rows[1][1] + "\na line of the second version")], "doc_id long, text string"))
+    assert more.counts.count() == once.counts.count() + 1
+    assert more.counts.agg({"refs": "sum"}).first()[0] == once.counts.agg({"refs": "sum"}).first()[0] + 1
+
+
+def test_the_verdict_comes_through_the_filters(spark, rows):
+    """Filters that have forgotten their keys let repeats pass as new."""
+    df = spark.createDataFrame([r for r in rows if r[0] is not None], "doc_id long, text string")
+    first, second = df.where("doc_id % 2 = 0"), df.where("doc_id % 2 = 1")
+    index = L.new_index(first)
+    emptied = [(r["shard"], bytes(len(r["filter"]))) for r in index.filters.collect()]
+    broken = dataclasses.replace(index, filters=spark.createDataFrame(emptied, "shard int, filter binary"))
+    want = brute([tuple(r) for r in df.collect()])
+    assert report(df, L.insert(index, second)) == want
+    assert report(df, L.insert(broken, second)) != want
+
+
+def test_shards_grow_with_the_keys(spark, monkeypatch):
+    monkeypatch.setattr(L, "_KEYS_PER_SHARD", 4)
+    monkeypatch.setattr(L, "_MIN_SHARDS", 2)
+    rows = [(k, f"line of document {k} alone\nline that all of them share {k % 3}") for k in range(100)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    small = L.new_index(df.where("doc_id < 8"))
+    grown = L.insert(small, df.where("doc_id >= 8"))
+    assert small.shards == 3 and grown.shards == 26 and grown.filters.count() <= 26
+    assert report(df, grown) == brute(rows)
+
+
+def test_emptied_documents_may_go(spark):
+    rows = [(1, "a line that is repeated"), (2, "A line that is repeated\n \n"), (3, ""), (4, None), (5, "a line that is repeated\nand one of its own")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    out = {r["doc_id"]: r["text"] for r in L.without_repeats(df, L.new_index(df), drop_emptied=True).collect()}
+    assert out == {1: rows[0][1], 3: "", 4: None, 5: "and one of its own"}
+
+
 def test_cuckoo_filter():
     rng = np.random.default_rng(0)
     keys, other = rng.integers(-(2**63), 2**63, 20_000), rng.integers(-(2**63), 2**63, 20_000)

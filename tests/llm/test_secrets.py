@@ -65,6 +65,27 @@ def test_ledger_scans_only_unseen_pairs(spark):
     assert S.scan_new(both, S.empty_ledger(spark)).count() == 3
 
 
+def test_the_report_comes_from_the_stored_ledger(spark):
+    """What the ledger says of a blob is what its paths get, and a pair held twice counts once."""
+    df = spark.createDataFrame([(k, TEXTS[k % 2]) for k in range(6)], "doc_id long, text string")
+    want = sorted(map(tuple, S.secret_report(df).collect()))
+    ledger = S.ledger_of(df, batches=3)
+    assert ledger.count() == 2
+    assert sorted(map(tuple, S.secret_report(df, ledger.unionByName(ledger)).collect())) == want
+    forgot = ledger.withColumn("found", F.expr(f"CAST(array() AS {S.FINDINGS})"))
+    assert {r["spans"] for r in S.secret_report(df, forgot).collect()} == {""}
+    assert S.scan_new(df, ledger).isEmpty()
+
+
+def test_a_stored_table_is_a_ledger(spark, tmp_path):
+    old = spark.createDataFrame([(1, TEXTS[0])], "doc_id long, text string")
+    S.scan_new(old).write.parquet(f"{tmp_path}/ledger")
+    ledger = spark.read.parquet(f"{tmp_path}/ledger")
+    both = old.unionByName(spark.createDataFrame([(2, TEXTS[0]), (3, TEXTS[1])], "doc_id long, text string"))
+    assert S.scan_new(both, ledger).count() == 1
+    assert sorted(map(tuple, S.secret_report(both, ledger).collect())) == sorted(map(tuple, S.secret_report(both).collect()))
+
+
 def test_redaction(spark, edge, none):
     df = spark.createDataFrame([(1, "a password=hunter2hunter b", 26), (2, None, None), (3, "clean", 5)], "doc_id long, text string, n_chars long")
     got = {r["doc_id"]: tuple(r) for r in S.redact(df).collect()}
