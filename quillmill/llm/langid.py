@@ -3,9 +3,11 @@
 Learning: every language gets a distribution of character n-grams of its words
 (with a mark at both ends), hashed into a fixed number of buckets and smoothed.
 It is learned from a bounded sample of labelled texts: at most about
-``docs_per_language`` of each language, picked by a hash of the id alone.
+``docs_per_language`` of each language, picked by a hash of id and text. The model has
+one row of 2^``bits`` counters for each learned language; languages are taken to be as
+few as languages are.
 
-Prediction: words (runs of letters) are the observations. A word's likelihood under
+Prediction: words (runs of letters with their marks) are the observations. A word's likelihood under
 a language is that of its n-grams. The document's proportions are fitted by
 expectation-maximisation. The language set is selected by penalised likelihood
 (BIC): starting from all languages the least one is taken out again and again,
@@ -13,8 +15,9 @@ every nested set is fitted anew, and the set with the best likelihood less
 (size - 1) / 2 * ln(words) stays. The prediction is the largest proportion in it,
 and the score is that proportion.
 
-Words are looked up once per batch of texts, and the EM steps run over all
-documents of a batch at once, so the cost is linear in the words.
+Words are looked up once per batch of texts, and the EM steps run over the distinct
+words of each document with their counts, so memory follows a text's vocabulary and
+not its length.
 
 Defined results: ``und`` with score 0 if text is null or has no letter, or if
 nothing was learned. Rows are predicted one by one, so repeats and null ids are as
@@ -58,8 +61,9 @@ def _words(texts: pa.Array, c: LanguageConfig) -> tuple[list[str], np.ndarray, n
     """Distinct lower-case words, the code of every word of texts, and its text's number."""
     import pyarrow.compute as pc
 
-    lower = pc.utf8_lower(pc.fill_null(texts.cast(pa.large_string()), ""))
-    lists = pc.split_pattern_regex(lower, r"[^\p{L}]+")
+    blank = pa.scalar(" ", pa.large_string())
+    lower = pc.binary_join_element_wise(blank, pc.utf8_lower(pc.fill_null(texts.cast(pa.large_string()), "")), pa.scalar("", pa.large_string()))
+    lists = pc.split_pattern_regex(lower, r"[^\p{L}\p{M}]+\p{M}*")  # a word begins with a letter
     words = lists.flatten()
     of = np.repeat(np.arange(len(texts)), np.diff(np.asarray(lists.offsets)))
     full = np.asarray(pc.binary_length(words)) > 0
@@ -91,11 +95,9 @@ def _grams(words: list[str], c: LanguageConfig) -> tuple[np.ndarray, np.ndarray]
 def learn(labelled: DataFrame, c: LanguageConfig = LanguageConfig()) -> LanguageModel:
     """From the columns doc_id, text and lang."""
     rows = labelled.where("lang IS NOT NULL").select("doc_id", filled_text().alias("text"), F.col("lang").cast("string").alias("lang"))
-    sizes = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).collect()}  # a row per language
-    share = F.lit(0.0)
-    for lang, n in sizes.items():
-        share = F.when(F.col("lang") == lang, min(1.0, c.docs_per_language / n)).otherwise(share)
-    sample = rows.where(F.pmod(F.xxhash64(F.lit("sample"), "doc_id"), F.lit(1_000_000)) < share * 1_000_000).select("lang", "text")
+    sizes = rows.groupBy(F.col("lang").alias("of")).agg(F.least(F.lit(1.0), c.docs_per_language / F.count("*")).alias("share"))
+    drawn = F.pmod(F.xxhash64(F.lit("sample"), "doc_id", "text"), F.lit(1_000_000)) < F.col("share") * 1_000_000
+    sample = rows.join(F.broadcast(sizes), F.col("lang") == F.col("of")).where(drawn).select("lang", "text")  # a row per language
     space = 1 << c.bits
 
     def count(batches):
@@ -124,16 +126,16 @@ def learn(labelled: DataFrame, c: LanguageConfig = LanguageConfig()) -> Language
     return LanguageModel(names, np.log((counts + c.smoothing) / (counts.sum(axis=0) + c.smoothing * space)), c)
 
 
-def _fit(likely: np.ndarray, doc: np.ndarray, n_words: np.ndarray, allowed: np.ndarray, c: LanguageConfig) -> tuple[np.ndarray, np.ndarray]:
-    """Proportions and log likelihood of every document; words of a document stand together."""
-    starts = np.r_[0, np.cumsum(n_words)[:-1]]
+def _fit(likely: np.ndarray, n: np.ndarray, doc: np.ndarray, starts: np.ndarray, n_words: np.ndarray, allowed: np.ndarray, c: LanguageConfig) -> tuple[np.ndarray, np.ndarray]:
+    """Proportions and log likelihood of every document; its distinct words stand together from starts on, n times each."""
     pi = allowed / allowed.sum(axis=1, keepdims=True)
     for step in range(c.steps + 1):
         joint = likely * pi[doc]
         total = joint.sum(axis=1)
         if step == c.steps:
-            return pi, np.add.reduceat(np.log(total), starts)
-        pi = np.add.reduceat(joint / total[:, None], starts, axis=0) / n_words[:, None]
+            return pi, np.add.reduceat(n * np.log(total), starts)
+        joint *= (n / total)[:, None]
+        pi = np.add.reduceat(joint, starts, axis=0) / n_words[:, None]
         pi = np.maximum(pi, c.floor) * allowed
         pi /= pi.sum(axis=1, keepdims=True)
 
@@ -149,15 +151,16 @@ def mixtures(texts: pa.Array, model: LanguageModel) -> np.ndarray:
     table = np.zeros((len(distinct), n_langs))
     for k in range(n_langs):
         table[:, k] = np.bincount(word, weights=model.logs[grams, k], minlength=len(distinct))
-    top = table.max(axis=1, keepdims=True)
-    likely = np.maximum(np.exp(table - top), 1e-30)[codes]
-    shift = top[codes, 0]
-    present, doc, n_words = np.unique(of, return_inverse=True, return_counts=True)
-    base = np.add.reduceat(shift, np.r_[0, np.cumsum(n_words)[:-1]])
+    top = table.max(axis=1)
+    pairs, n = np.unique(of * len(distinct) + codes, return_counts=True)
+    of, codes = np.divmod(pairs, len(distinct))
+    likely = np.maximum(np.exp(table - top[:, None]), 1e-30)[codes]
+    present, starts, doc = np.unique(of, return_index=True, return_inverse=True)
+    n_words, base = np.add.reduceat(n, starts), np.add.reduceat(n * top[codes], starts)
     allowed = np.ones((len(present), n_langs))
     best, best_bic = np.zeros((len(present), n_langs)), np.full(len(present), -np.inf)
     for size in range(n_langs, 0, -1):
-        pi, logl = _fit(likely, doc, n_words, allowed, c)
+        pi, logl = _fit(likely, n, doc, starts, n_words, allowed, c)
         bic = logl + base - (size - 1) / 2 * np.log(n_words)
         better = bic >= best_bic  # of equals the smaller set
         best[better], best_bic = pi[better], np.maximum(bic, best_bic)

@@ -33,8 +33,8 @@ from .common import parallelism, saved
 from .vocabularies import library_encoder
 
 CAPACITY = 1024
-#: More slot ranges than this are joined by shuffle instead of broadcast.
-MOST_BROADCAST = 200_000
+#: More slot ranges than this are joined by shuffle instead of broadcast, in so many shares of each length.
+MOST_BROADCAST, SHARES = 200_000, 64
 
 
 def piece_lengths(n: int, capacity: int) -> list[int]:
@@ -143,17 +143,21 @@ def _ranked(parts: DataFrame, blocks: int) -> DataFrame:
     return dealt.withColumn("at", F.row_number().over(inside) - 1).join(counts, ["length", "block"]).withColumn("rank", F.col("shift") + F.col("at")).drop("block", "at", "shift")
 
 
-def packed(parts: DataFrame, capacity: int = CAPACITY) -> DataFrame:
+def packed(parts: DataFrame, capacity: int = CAPACITY, most_broadcast: int = MOST_BROADCAST) -> DataFrame:
     """parts with sequence_id and offset."""
     spark = parts.sparkSession
     histogram = {r["length"]: r["n"] for r in parts.groupBy("length").agg(F.count("*").alias("n")).collect()}  # at most capacity rows
     slots, _ = plan(histogram, capacity)
     # Planned slots of a length follow each other in rank, so a piece has one slot.
-    table = spark.createDataFrame(slots, "length long, lo long, hi long, first long, offset long")
-    table = F.broadcast(table) if len(slots) <= MOST_BROADCAST else table
+    table = spark.createDataFrame(slots, "len long, lo long, hi long, first long, offset long")
     ranked = _ranked(parts, 4 * parallelism(spark))
-    at = ranked.join(table, (ranked["length"] == table["length"]) & (F.col("rank") >= F.col("lo")) & (F.col("rank") < F.col("hi")))
-    return at.select("doc_id", "piece", "start", ranked["length"], "ids_crc32", (F.col("first") + F.col("rank") - F.col("lo")).alias("sequence_id"), "offset")
+    same = (F.col("length") == F.col("len")) & (F.col("rank") >= F.col("lo")) & (F.col("rank") < F.col("hi"))
+    if len(slots) <= most_broadcast:
+        at = ranked.join(F.broadcast(table), same)
+    else:
+        table = table.withColumn("share", F.explode(F.sequence(F.lit(0), F.lit(SHARES - 1))))
+        at = ranked.join(table, same & (F.pmod("rank", F.lit(SHARES)) == F.col("share")))
+    return at.select("doc_id", "piece", "start", "length", "ids_crc32", (F.col("first") + F.col("rank") - F.col("lo")).alias("sequence_id"), "offset")
 
 
 def best_fit_sequences(docs: DataFrame, encode_with: tuple[str, str], end_id: int = 2, capacity: int = CAPACITY, added: dict[str, int] | None = None) -> DataFrame:

@@ -58,14 +58,13 @@ def test_plan_of_a_histogram_is_small():
 def tokenizer():
     from tokenizers import Tokenizer
 
-    t = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
-    t.encode_special_tokens = True
-    return t
+    return Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
 
 
 def test_pieces_by_the_tokenizers_library(spark, tokenizer):
-    df = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
-    rows = packing.best_fit_sequences(df, byte_level()).collect()
+    df = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text")
+    df = df.unionByName(spark.createDataFrame([(-1, "x <|endoftext|> y"), (-2, "<|endoftext|>" * 1100)], df.schema))
+    rows = packing.best_fit_sequences(df, byte_level(), added=byte_level_added()).collect()
     got = {(r["doc_id"], r["piece"]): (r["start"], r["length"], r["ids_crc32"]) for r in rows}
     want = {}
     for r in df.collect():
@@ -97,15 +96,26 @@ def test_added_tokens_by_the_default_tokenizer(spark, tmp_path):
     assert byte_level_added() == {"<|endoftext|>": 50256}
 
 
-def test_edges(edge, none):
-    rows = packing.best_fit_sequences(edge, byte_level()).collect()
+def test_edges(edge, none, tokenizer):
+    rows = packing.best_fit_sequences(edge, byte_level(), added=byte_level_added()).collect()
     checked(rows)
+    for r in edge.collect():
+        ids = np.array([*tokenizer.encode(r["text"] or "", add_special_tokens=False).ids, 2], "<u4")
+        if len(ids) <= 1024:
+            assert (len(ids), zlib.crc32(ids.tobytes())) in {(x["length"], x["ids_crc32"]) for x in rows if x["doc_id"] == r["doc_id"]}
     starts = Counter(r["doc_id"] for r in rows if r["piece"] == 0)
     assert starts == Counter(r["doc_id"] for r in edge.collect())
     assert {r["length"] for r in rows if r["doc_id"] in (2, 3)} == {1}
     assert packing.best_fit_sequences(none, byte_level()).count() == 0
 
 
+def test_slots_by_shuffle_are_the_same(spark):
+    df = spark.range(500).selectExpr("id AS doc_id", "repeat('word ', cast(1 + id % 7 AS int)) AS text")
+    parts = packing.pieces(df, byte_level(), 2)
+    placed = lambda rows: sorted((r["doc_id"], r["sequence_id"], r["offset"]) for r in rows.collect())
+    assert placed(packing.packed(parts, 64)) == placed(packing.packed(parts, 64, most_broadcast=0))
+
+
 def test_one_hot_length(spark):
     df = spark.range(3000).selectExpr("id AS doc_id", "'same words here' AS text")
     rows = packing.best_fit_sequences(df, byte_level()).collect()

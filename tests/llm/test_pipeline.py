@@ -18,7 +18,8 @@ def dedup_lines(docs):
             if len(key) >= 10:
                 holders.setdefault(key, set()).add(d)
     keep = lambda d, x: len(h := holders.get(x.strip(BLANK).translate(UPPER), ())) < 2 or min(h) == d
-    return {d: "\n".join(x for x in t.split("\n") if keep(d, x)) for d, t in docs.items()}
+    left = {d: "\n".join(x for x in t.split("\n") if keep(d, x)) for d, t in docs.items()}
+    return {d: t for d, t in left.items() if t.strip() or t == docs[d]}  # what is emptied goes
 
 
 def redact(t):
