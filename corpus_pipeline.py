@@ -12,7 +12,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 from quillmill.llm import linededup, neardup, packing, quality, secrets
-from quillmill.llm.common import shared_dir, table
+from quillmill.llm.common import removed, shared_dir, table
 from quillmill.llm.vocabularies import byte_level, byte_level_added
 
 
@@ -22,8 +22,8 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Lines that several documents hold stay in the first of them."""
-    return linededup.without_repeats(docs, linededup.new_index(docs))
+    """Lines that several documents hold stay in the first of them; documents that this empties go."""
+    return linededup.without_repeats(docs, linededup.new_index(docs, batches=2), drop_emptied=True)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -54,10 +54,12 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over documents, each written to the shared folder and read again."""
+    """All stages over documents, each written to the shared folder and read again; a stage's files go when the next one's are there."""
     docs, folder = table(spark, sf_dir, "documents"), f"{shared_dir(spark)}/pipeline-{uuid.uuid4().hex}"
     for k, (_, stage) in enumerate(STAGES):
         path = f"{folder}/{k}"
         stage(spark, docs, sf_dir).write.parquet(path)
         docs = spark.read.parquet(path)
+        if k:
+            removed(spark, f"{folder}/{k - 1}")
     return docs
