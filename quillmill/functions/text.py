@@ -1,14 +1,14 @@
-"""Text functions as columns; all run in the JVM but ``unaccented``.
+"""Text functions as columns; all run in the JVM.
 
 Patterns take Unicode classes where the reference semantics do: ``(?U)``. Columns
 that hold arrays should be made with ``once`` before they are used more than once.
 """
 
+import sys
 import unicodedata
+from functools import lru_cache
 
-import pandas as pd
 from pyspark.sql import Column, functions as F
-from pyspark.sql.types import StringType
 
 from . import constants as K
 
@@ -46,22 +46,24 @@ def slug(c: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(F.lower(c), "[^a-z0-9]+", "-"), "^-|-$", "")
 
 
-def name_contains(field: Column, needle: Column) -> Column:
-    """Whether field has needle in it, whatever the case and accents."""
-    return F.contains(F.collate(field, "UNICODE_CI_AI"), F.collate(needle, "UNICODE_CI_AI"))
-
-
-@F.pandas_udf(StringType())
-def _unaccented(s: pd.Series) -> pd.Series:
-    def one(t):
-        return None if t is None else "".join(x for x in unicodedata.normalize("NFD", t) if unicodedata.category(x) != "Mn").lower()
-
-    return s.map(one)
+@lru_cache(maxsize=1)
+def _bare_letters() -> tuple[str, str]:
+    """Characters that are one character and combining marks, with that character for each; then the marks, for which there is none."""
+    letters, marks = {}, []
+    for k in range(sys.maxunicode + 1):
+        c = chr(k)
+        if unicodedata.category(c) == "Mn":
+            marks.append(c)
+        elif unicodedata.decomposition(c):
+            left = [x for x in unicodedata.normalize("NFD", c) if unicodedata.category(x) != "Mn"]
+            if len(left) == 1 and left[0] != c:
+                letters[c] = left[0]
+    return "".join([*letters, *marks]), "".join(letters.values())
 
 
 def unaccented(c: Column) -> Column:
-    """Lower case without combining marks. Spark has no decomposition of characters, so this is an Arrow function."""
-    return _unaccented(c)
+    """Lower case without combining marks, alone or as parts of characters."""
+    return F.lower(F.translate(c, *_bare_letters()))
 
 
 def name_forms(name: Column) -> Column:

@@ -1,18 +1,19 @@
 """Most frequent words, z-scores over chapters and Burrows' Delta.
 
-Chapters hold few of the words, so nothing is made dense: a mean over all chapters
-is a sum over those that have the word divided by the number of all, and the
-variance is the mean square less the squared mean, with the mean taken out first.
+Chapters hold few of the words, so means and variances are reckoned from those that
+have the word and the number of all. Only Delta, which compares all words of a chapter
+with a centroid's, fills a small row of scores per chapter.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window, functions as F
 
-from ..functions import text as T
+from ..functions import constants as K, text as T
 from ..functions.columns import once
 
 LEAST_SIGMA = 1e-9
+MOST_CENTRES = 10_000
 
 
 def word_counts(chapters: DataFrame, chapter: str = "doc_id", text: str = "text") -> DataFrame:
@@ -21,12 +22,31 @@ def word_counts(chapters: DataFrame, chapter: str = "doc_id", text: str = "text"
     return df.select(chapter, F.explode("lower").alias("word")).groupBy(chapter, "word").agg(F.count("*").alias("n"))
 
 
+def word_totals(chapters: DataFrame, text: str = "text") -> DataFrame:
+    """(word, n) over all chapters, added up before anything is shuffled."""
+    df = once(chapters.select(text), lower=T.lowered(T.words(F.col(text))))
+    return df.select(F.explode("lower").alias("word")).groupBy("word").agg(F.count("*").alias("n"))
+
+
 def frequent_words(counts: DataFrame, top: int = 150) -> DataFrame:
-    """(word, total, place); of equally frequent words the alphabetically first."""
+    """(word, total, place); of equally frequent words the alphabetically first. counts has word and n."""
     best = counts.groupBy("word").agg(F.sum("n").alias("total")).orderBy(F.desc("total"), "word").limit(top)
     return best.withColumn("place", F.row_number().over(Window.partitionBy(F.lit(0)).orderBy(F.desc("total"), "word")))  # top rows
 
 
+def word_frequencies(chapters: DataFrame, words: DataFrame, keys: tuple[str, ...] = ("doc_id",), text: str = "text") -> DataFrame:
+    """(keys, word, freq) of the frequent words that a chapter has, freq being of all its words; a chapter is a row of chapters, told by its keys."""
+    df = once(chapters.select(*keys, text), lower=T.lowered(T.words(F.col(text)))).drop(text)
+    long = df.select(*keys, F.size("lower").alias("all_words"), F.explode("lower").alias("word"))
+    hits = long.join(F.broadcast(words.select("word")), "word").groupBy(*keys, "all_words", "word").agg(F.count("*").alias("n"))
+    return hits.select(*keys, "word", (F.col("n") / F.col("all_words")).alias("freq"))
+
+
+def chapters_with_words(chapters: DataFrame, *by: str, text: str = "text") -> DataFrame:
+    """(by, n): how many chapters have words."""
+    return chapters.where(F.col(text).rlike(K.WORD)).groupBy(*by).agg(F.count("*").alias("n"))
+
+
 def relative_frequencies(counts: DataFrame, words: DataFrame, chapter: str = "doc_id") -> DataFrame:
     """(chapter, word, freq) of the frequent words that a chapter has; freq is of all its words."""
     totals = counts.groupBy(chapter).agg(F.sum("n").alias("all_words"))
@@ -34,16 +54,16 @@ def relative_frequencies(counts: DataFrame, words: DataFrame, chapter: str = "do
 
 
 def scale(freqs: DataFrame, words: DataFrame, n_chapters: DataFrame) -> DataFrame:
-    """(word, mu, sigma) over all chapters with words, sigma of the population; n_chapters is one row with n."""
-    mu = freqs.groupBy("word").agg(F.sum("freq").alias("sum"), F.count("*").alias("holders"))
-    mu = words.select("word").join(mu, "word", "left").withColumn("n", n_chapters.scalar())
-    mu = mu.select("word", "n", F.coalesce("holders", F.lit(0)).alias("holders"), (F.coalesce("sum", F.lit(0.0)) / F.col("n")).alias("mu"))
-    mu = mu.withColumnRenamed("word", "w")
-    off = freqs.join(F.broadcast(mu), F.col("word") == F.col("w")).groupBy("word").agg(F.sum((F.col("freq") - F.col("mu")) ** 2).alias("square"))
-    # Chapters without the word are off by mu each.
-    both = mu.join(F.broadcast(off), F.col("word") == F.col("w"), "left")
-    sigma = F.sqrt((F.coalesce("square", F.lit(0.0)) + (F.col("n") - F.col("holders")) * F.col("mu") ** 2) / F.col("n"))
-    return both.select(F.col("w").alias("word"), "mu", F.greatest(sigma, F.lit(LEAST_SIGMA)).alias("sigma"))
+    """(word, mu, sigma) over all chapters with words, sigma of the population; n_chapters is one row with n.
+
+    Mean and variance of the chapters that have a word are joined with the zeros of
+    the others as two groups are: no value is squared before its mean is taken out.
+    """
+    own = freqs.groupBy(F.col("word").alias("w")).agg(F.count("*").alias("h"), F.avg("freq").alias("m"), F.var_pop("freq").alias("v"))
+    both = words.select("word").join(own, F.col("word") == F.col("w"), "left").withColumn("n", n_chapters.scalar())
+    h, m, v, n = F.coalesce("h", F.lit(0)), F.coalesce("m", F.lit(0.0)), F.coalesce("v", F.lit(0.0)), F.col("n")
+    sigma = F.sqrt((h * v + h * (n - h) / n * m**2) / n)
+    return both.select("word", (h * m / n).alias("mu"), F.greatest(sigma, F.lit(LEAST_SIGMA)).alias("sigma"))
 
 
 def chapter_count(counts: DataFrame, chapter: str = "doc_id") -> DataFrame:
@@ -76,6 +96,18 @@ def centroids(vectors: DataFrame, register: str = "register") -> DataFrame:
     return means.groupBy(register).agg(F.max("n").alias("n"), F.sort_array(F.collect_list(F.struct("at", "x"))).alias("s")).select(register, "n", F.col("s.x").alias("z"))
 
 
+def word_centroids(freqs: DataFrame, scaled: DataFrame, sizes: DataFrame, register: str = "register") -> DataFrame:
+    """(register, n, word, z): the means of scores from sums of frequencies; no chapter's scores are filled in.
+
+    sizes has a row (register, n) per register, scaled one per frequent word.
+    """
+    sums = freqs.groupBy(F.col(register).alias("of"), F.col("word").alias("w")).agg(F.sum("freq").alias("sum"))
+    row = scaled.agg(F.collect_list(F.struct("word", "mu", "sigma")).alias("scale"))
+    grid = sizes.withColumn("scale", row.scalar()).select(register, "n", F.inline("scale"))
+    both = grid.join(sums, (F.col(register) == F.col("of")) & (F.col("word") == F.col("w")), "left")
+    return both.select(register, "n", "word", ((F.coalesce("sum", F.lit(0.0)) / F.col("n") - F.col("mu")) / F.col("sigma")).alias("z"))
+
+
 def delta(a, b):
     """Mean absolute difference of two score arrays."""
     return F.aggregate(F.zip_with(a, b, lambda x, y: F.abs(x - y)), F.lit(0.0), lambda s, x: s + x) / F.greatest(F.size(a), F.lit(1))
@@ -95,8 +127,10 @@ def cohesion(vectors: DataFrame, centres: DataFrame, register: str = "register")
 
 
 def nearest_register(vectors: DataFrame, centres: DataFrame, chapter: str = "doc_id", register: str = "register") -> DataFrame:
-    """(chapter, nearest, delta): the centroid with the least Delta, of equals the first by name. Centroids travel as one array."""
-    row = centres.agg(F.sort_array(F.collect_list(F.struct(F.col(register).alias("name"), "z"))).alias("centres"))
+    """(chapter, nearest, delta): the centroid with the least Delta, of equals the first by name. Centroids travel as one array, so there may be MOST_CENTRES at most."""
+    few = F.assert_true(F.count("*") <= MOST_CENTRES, F.lit(f"more than {MOST_CENTRES} centroids"))
+    every = F.sort_array(F.collect_list(F.struct(F.col(register).alias("name"), "z")))
+    row = centres.agg(every.alias("every"), few.alias("few")).select(F.when(F.col("few").isNull(), F.col("every")).alias("centres"))
     every = F.transform("centres", lambda c: F.struct(delta(F.col("z"), c["z"]).alias("delta"), c["name"].alias("name")))
     return vectors.withColumn("centres", row.scalar()).select(chapter, F.array_min(every).alias("best")).select(chapter, F.col("best.name").alias("nearest"), F.col("best.delta").alias("delta"))
 

@@ -25,8 +25,8 @@ def group_split(rows: DataFrame, share: float = 0.20, seed: int = 42, group: str
 
 
 def grams(rows: DataFrame, key: str, text: str = "window") -> DataFrame:
-    """(key, term, tf): lower-case words of at least two characters, and pairs of neighbours."""
-    df = once(rows.select(key, text), __w=T.lowered(T.matches(F.col(text), f"(?U){K.FEATURE_WORD}"))).drop(text)
+    """(key, term, tf): lower-case words of at least two characters, and pairs of neighbours. Texts are dealt by key, so all that is counted by key stays in place."""
+    df = once(rows.select(key, text).repartition(key), __w=T.lowered(T.matches(F.col(text), f"(?U){K.FEATURE_WORD}"))).drop(text)
     pairs = F.transform(T.bigrams(F.col("__w")), lambda b: F.concat_ws(" ", b["w1"], b["w2"]))
     return df.select(key, F.explode(F.concat("__w", pairs)).alias("term")).groupBy(key, "term").agg(F.count("*").alias("tf"))
 

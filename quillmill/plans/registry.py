@@ -9,7 +9,10 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from ..functions import constants as K, text as T, tokenizers
 from ..functions.columns import once, rounded
 from ..operators import algebra, burrows, chunking, classifier, dataset, evalset, generation, ingest, profile, registers
+from ..sources import readers, writers
+from ..sources.shared import fresh_path, removed, saved
 from ..sources.tables import table
+from ..streaming import incremental
 from . import views
 from .oracles import ORACLES  # noqa: F401
 
@@ -21,24 +24,16 @@ def query(f):
     return f
 
 
-def chunk_query(f):
-    """f over all chunks as whole_<name>; under its own name, over those that its SQL has, which leaves out paragraphs of more than 200 tokens."""
-
-    def over(name, whole):
-        def run(spark, sf_dir):
-            return f(spark, sf_dir, whole)
-
-        run.__name__, run.__doc__ = name, f.__doc__
-        return run
-
-    QUERIES[f.__name__] = over(f.__name__, False)
-    QUERIES[f"whole_{f.__name__}"] = over(f"whole_{f.__name__}", True)
-    return f
+def _stats(spark, sf_dir):
+    """The chapters' counters: small beside the texts."""
+    return profile.chapter_stats(views.chapters(spark, sf_dir), paragraph=r"\n")
 
 
-def _stats(spark, sf_dir):
-    """The chapters' counters, kept: small beside the texts, and read more than once by most queries."""
-    return profile.chapter_stats(views.chapters(spark, sf_dir), paragraph=r"\n").persist()
+@query
+def chapter_paragraphs(spark, sf_dir):
+    """Paragraphs by the profile's own pattern, where two blank lines stand for each line end."""
+    docs = views.chapters(spark, sf_dir).withColumn("text", F.replace("text", F.lit("\n"), F.lit("\n\n \n")))
+    return profile.chapter_stats(docs).select("doc_id", "n_paragraphs", "n_sentences")
 
 
 @query
@@ -60,10 +55,14 @@ def word_stats_by_author(spark, sf_dir):
     return df.groupBy("author").agg(F.count("*").alias("chapters"), F.sum("n").alias("words"), (F.sum("chars") / F.greatest(F.sum("n"), F.lit(1))).alias("mean_word_length"))
 
 
+def _bigrams(spark, sf_dir):
+    return profile.distinguishing_bigrams(saved(profile.bigram_counts(views.chapters(spark, sf_dir))))  # three steps read the counts
+
+
 @query
 def distinguishing_bigrams(spark, sf_dir):
     """Each author's bigrams that others use much less."""
-    out = profile.distinguishing_bigrams(profile.bigram_counts(views.chapters(spark, sf_dir)).persist())
+    out = _bigrams(spark, sf_dir)
     return out.select("author", "place", "bigram", *(rounded(F.col(c), 9).alias(c) for c in ("my_rate", "other_rate", "ratio")))
 
 
@@ -85,152 +84,184 @@ def register_separation(spark, sf_dir):
 
 
 class _Burrows:
+    """The steps of the index; each is worked out when it is asked for."""
+
     def __init__(self, spark, sf_dir, top=150):
-        docs = views.chapters(spark, sf_dir)
-        self.counts = burrows.word_counts(docs).persist()  # five of the steps below read it
-        self.words = burrows.frequent_words(self.counts, top)
-        self.freqs = burrows.relative_frequencies(self.counts, self.words)
-        self.n = burrows.chapter_count(self.counts)
-        self.scaled = burrows.scale(self.freqs, self.words, self.n)
-        ids = self.counts.select("doc_id").distinct().join(docs.select("doc_id", "register"), "doc_id")
-        self.vectors = burrows.chapter_vectors(self.freqs, self.scaled, ids).persist()
-        self.centres = burrows.centroids(self.vectors)
+        self.docs = views.chapters(spark, sf_dir)
+        self.words = saved(burrows.frequent_words(burrows.word_totals(self.docs), top))  # top rows
+        self.freqs = burrows.word_frequencies(self.docs, self.words, ("doc_id", "register"))
+        self.sizes = burrows.chapters_with_words(self.docs, "register")
+
+    def scaled(self):
+        return burrows.scale(self.freqs, self.words, self.sizes.agg(F.sum("n").alias("n")))
+
+    def vectors(self):
+        """Scores of every chapter with words, and the centroids."""
+        self.freqs = saved(self.freqs.drop("register"))  # a row per chapter and frequent word
+        ids = self.docs.where(F.col("text").rlike(K.WORD)).select("doc_id", "register")
+        vectors = saved(burrows.chapter_vectors(self.freqs, saved(self.scaled()), ids))
+        return vectors, saved(burrows.centroids(vectors))  # a row per register
 
 
 @query
 def frequent_words(spark, sf_dir):
     """The 150 most frequent words."""
-    return _Burrows(spark, sf_dir).words
+    return burrows.frequent_words(burrows.word_totals(views.chapters(spark, sf_dir)), 150)
 
 
 @query
 def word_scale(spark, sf_dir):
     """Mean and deviation of the frequent words' relative frequencies."""
-    return _Burrows(spark, sf_dir).scaled.select("word", rounded(F.col("mu"), 9).alias("mu"), rounded(F.col("sigma"), 9).alias("sigma"))
+    return _Burrows(spark, sf_dir).scaled().select("word", rounded(F.col("mu"), 9).alias("mu"), rounded(F.col("sigma"), 9).alias("sigma"))
 
 
 @query
 def register_centroids(spark, sf_dir):
     """A14, A15."""
     b = _Burrows(spark, sf_dir)
-    ordered = b.words.agg(F.sort_array(F.collect_list("word")).alias("w"))
-    df = b.centres.select("register", "n", F.posexplode("z").alias("at", "z")).withColumn("w", ordered.scalar())
-    return df.select("register", "n", F.element_at("w", F.col("at") + 1).alias("word"), rounded(F.col("z")).alias("z"))
+    b.freqs = saved(b.freqs)
+    return burrows.word_centroids(b.freqs, b.scaled(), b.sizes).withColumn("z", rounded(F.col("z")))
 
 
 @query
 def pairwise_delta(spark, sf_dir):
     """A16, J10."""
-    return burrows.pairwise_delta(_Burrows(spark, sf_dir).centres).withColumn("delta", rounded(F.col("delta")))
+    return burrows.pairwise_delta(_Burrows(spark, sf_dir).vectors()[1]).withColumn("delta", rounded(F.col("delta")))
 
 
 @query
 def register_cohesion(spark, sf_dir):
     """A17, J9."""
-    b = _Burrows(spark, sf_dir)
-    return burrows.cohesion(b.vectors, b.centres).withColumn("delta", rounded(F.col("delta")))
+    return burrows.cohesion(*_Burrows(spark, sf_dir).vectors()).withColumn("delta", rounded(F.col("delta")))
 
 
 @query
 def nearest_register(spark, sf_dir):
     """The register that each chapter is nearest to."""
-    b = _Burrows(spark, sf_dir)
-    return burrows.nearest_register(b.vectors, b.centres).select("doc_id", "nearest", rounded(F.col("delta")).alias("delta"))
+    near = burrows.nearest_register(*_Burrows(spark, sf_dir).vectors())
+    return near.select("doc_id", "nearest", rounded(F.col("delta")).alias("delta"))
 
 
-@chunk_query
-def greedy_chunks(spark, sf_dir, whole):
-    """Paragraphs packed into chunks."""
-    return views.chunks(spark, sf_dir, whole).select("path", "chunk_idx", "n_paragraphs", "n_tokens", "is_chapter_end", F.md5(F.col("text").cast("binary")).alias("text_md5"))
+@query
+def greedy_chunks(spark, sf_dir):
+    """Paragraphs packed into chunks, long ones by sentences and slices."""
+    return views.chunks(spark, sf_dir).select("path", "chunk_idx", "n_paragraphs", "n_tokens", "is_chapter_end", F.md5(F.col("text").cast("binary")).alias("text_md5"))
 
 
 @query
 def document_chunks(spark, sf_dir):
-    """Chunks by a pluggable tokenizer, long paragraphs and sentences included."""
-    out = chunking.chunk_documents(views.chapters(spark, sf_dir), tokenizers.WordTokenizer(), views.CHUNK_TOKENS, between=r"\n")
+    """Chunks by a pluggable tokenizer within the budget of a sequence, an end token on the last; a blank line stands for each line end, as the chunker's own pattern asks for."""
+    docs = views.chapters(spark, sf_dir).withColumn("text", F.replace("text", F.lit("\n"), F.lit("\n \n")))
+    out = chunking.chunk_documents(docs, tokenizers.WordTokenizer(), chunking.chunk_budget(views.CHUNK_TOKENS + chunking.PROMPT_BUDGET), eos=2)
     return out.select("doc_id", "chunk_idx", "n_tokens", "is_chapter_end", F.md5(F.array_join("input_ids", ",").cast("binary")).alias("ids_md5"))
 
 
-@chunk_query
-def chunks_join_briefs(spark, sf_dir, whole):
-    """Chunks with their extractive briefs."""
-    chunks = views.chunks(spark, sf_dir, whole)
+@query
+def chunks_join_briefs(spark, sf_dir):
+    """Chunks with their extractive briefs."""
+    chunks = views.chunks(spark, sf_dir)
     return dataset.with_briefs(chunks.select("path", "chunk_idx", "n_tokens"), views.briefs(chunks)).select("path", "chunk_idx", "n_tokens", "author", "register", "brief")
 
 
-@chunk_query
-def chunks_to_do(spark, sf_dir, whole):
-    """Chunks that have no brief yet, by author."""
-    chunks = views.chunks(spark, sf_dir, whole)
+@query
+def chunks_to_do(spark, sf_dir):
+    """Chunks that have no brief yet, by author."""
+    chunks = views.chunks(spark, sf_dir)
     return dataset.without_briefs(chunks, views.briefs(chunks)).groupBy("author").agg(F.count("*").alias("n"), F.sum("n_tokens").alias("tokens"))
 
 
-def _split(spark, sf_dir, whole):
-    chunks = views.chunks(spark, sf_dir, whole)
+def _split(spark, sf_dir):
+    chunks = views.chunks(spark, sf_dir)
     return evalset.replayed_split(chunks.select("path", "chunk_idx", "n_tokens", "text"), views.briefs(chunks))
 
 
-@chunk_query
-def stratified_split(spark, sf_dir, whole):
+@query
+def stratified_split(spark, sf_dir):
     """Capped and split chunks."""
-    return _split(spark, sf_dir, whole).select("path", "chunk_idx", "author", F.col("split").cast("int").alias("split"))
+    return _split(spark, sf_dir).select("path", "chunk_idx", "author", F.col("split").cast("int").alias("split"))
 
 
-@chunk_query
-def split_tally(spark, sf_dir, whole):
+@query
+def split_tally(spark, sf_dir):
     """Rows per author and split with a total."""
-    return dataset.split_tally(_split(spark, sf_dir, whole))
+    return dataset.split_tally(_split(spark, sf_dir))
 
 
-@chunk_query
-def author_vocabulary(spark, sf_dir, whole):
+@query
+def author_vocabulary(spark, sf_dir):
     """F13."""
-    rows = _split(spark, sf_dir, whole).withColumn("first_seen", F.col("path"))
+    rows = _split(spark, sf_dir).withColumn("first_seen", F.col("path"))
     return dataset.author_vocabulary(rows).withColumn("author_id", F.col("author_id").cast("int"))
 
 
-def _packed(spark, sf_dir, whole):
-    rows = dataset.with_prompts(_split(spark, sf_dir, whole), views.dimension(spark, sf_dir))
+def _packed(spark, sf_dir):
+    rows = dataset.with_prompts(_split(spark, sf_dir), views.dimension(spark, sf_dir))
     rows = once(rows, prompt_ids=tokenizers.token_ids(F.col("prompt")), chunk_ids=tokenizers.token_ids(F.col("text")))
     return dataset.packed_rows(rows.drop("n_tokens"), length=views.PACKED_LENGTH)
 
 
-@chunk_query
-def packed_rows(spark, sf_dir, whole):
-    """Prompts and chunks packed to one length, with labels."""
-    rows = dataset.with_labels(_packed(spark, sf_dir, whole))
+@query
+def packed_rows(spark, sf_dir):
+    """Prompts and chunks packed to one length, with labels."""
+    return _packed_digests(dataset.with_labels(_packed(spark, sf_dir)))
+
+
+def _packed_digests(rows):
     digest = lambda c: F.md5(F.array_join(c, ",").cast("binary"))
     return rows.select("path", "chunk_idx", F.col("split").cast("int").alias("split"), F.col("prompt_length").cast("int").alias("prompt_length"), F.col("n_tokens").cast("int").alias("n_tokens"), "was_cut", digest("input_ids").alias("ids_md5"), digest("labels").alias("labels_md5"))
 
 
-@chunk_query
-def split_replay_check(spark, sf_dir, whole):
-    """The replayed split against the stored one, by register."""
-    return evalset.split_differences(_split(spark, sf_dir, whole), _split(spark, sf_dir, whole)).select("register", "train", "val", "test", "same")
+@query
+def stored_training_set(spark, sf_dir):
+    """The test rows of a training set that was written by split, with its stored parameters."""
+    path = fresh_path(spark, "training")
+    writers.training_set(_packed(spark, sf_dir).select("path", "chunk_idx", "input_ids", "attention_mask", "prompt_length", "n_tokens", "was_cut", "split"), path, {"seq_len": views.PACKED_LENGTH, "seed": 42})
+    meta = spark.read.text(f"{path}.meta").select(F.get_json_object("value", "$.seq_len").cast("int").alias("seq_len"))  # one row
+    rows = _packed_digests(dataset.with_labels(readers.training_set(spark, path, "test"))).withColumn("seq_len", meta.scalar())
+    out = saved(rows)
+    removed(spark, path)
+    removed(spark, f"{path}.meta")
+    return out
+
+
+@query
+def split_replay_check(spark, sf_dir):
+    """The replayed split by register against stored ones, of which the second has its validation rows of one register among the training rows."""
+    replayed, out = saved(_split(spark, sf_dir).select("path", "chunk_idx", "register", "split")), None
+    moved = (F.col("register") == K.REGISTERS[0][0]) & (F.col("split") == dataset.VAL)
+    drifted = replayed.withColumn("split", F.when(moved, F.lit(dataset.TRAIN)).otherwise(F.col("split")).cast("tinyint"))
+    for name, rows in (("replayed", replayed), ("drifted", drifted)):
+        path = fresh_path(spark, "training")
+        writers.training_set(rows, path)
+        stored = readers.training_set(spark, path, columns=("register", "split"))
+        part = saved(evalset.split_differences(replayed, stored).select(F.lit(name).alias("stored"), "register", "train", "val", "test", "same"))
+        removed(spark, path)
+        out = part if out is None else out.unionByName(part)
+    return out
 
 
-def _pool(spark, sf_dir, whole):
-    chunks = views.chunks(spark, sf_dir, whole)
+def _pool(spark, sf_dir):
+    chunks = views.chunks(spark, sf_dir)
     split = evalset.replayed_split(chunks.select("path", "chunk_idx"), views.briefs(chunks))
     return evalset.judged_briefs(evalset.test_briefs(views.briefs(chunks), split))
 
 
-@chunk_query
-def eval_brief_attrition(spark, sf_dir, whole):
+@query
+def eval_brief_attrition(spark, sf_dir):
     """F3, F4, F9, J6, A26."""
-    return evalset.attrition(_pool(spark, sf_dir, whole))
+    return evalset.attrition(_pool(spark, sf_dir))
 
 
-@chunk_query
-def eval_sample(spark, sf_dir, whole):
+@query
+def eval_sample(spark, sf_dir):
     """W8, X29."""
-    return evalset.sampled(_pool(spark, sf_dir, whole).where("reason = 'kept'")).select("brief_id", "brief_key", "register", "place", "brief")
+    return evalset.sampled(_pool(spark, sf_dir).where("reason = 'kept'")).select("brief_id", "brief_key", "register", "place", "brief")
 
 
-@chunk_query
-def instruction_probe(spark, sf_dir, whole):
+@query
+def instruction_probe(spark, sf_dir):
     """W9, J16, X30, U4."""
-    kept = _pool(spark, sf_dir, whole).where("reason = 'kept'")
+    kept = _pool(spark, sf_dir).where("reason = 'kept'")
     return evalset.instruction_probe(kept, evalset.constraints(spark)).select("brief_id", "constraint_id", "path", "chunk_idx", "brief")
 
 
@@ -249,47 +280,24 @@ def word_window_split(spark, sf_dir):
     return rows.groupBy("register", "is_test").agg(F.count("*").alias("windows"), F.countDistinct("doc_id").alias("chapters"), F.sum(F.length("window")).alias("chars"))
 
 
-def _grams(spark, sf_dir, size, most):
-    rows = classifier.word_windows(views.chapters(spark, sf_dir), size).withColumn("key", F.concat_ws("/", "doc_id", "win_idx"))
-    counts = classifier.grams(rows, "key").persist()
-    return rows, counts, classifier.vocabulary(counts, rows.agg(F.count("*").alias("n")), most)
-
-
-#: Words of a window and terms, of the tf-idf queries' SQL and of the reference.
-TFIDF_SQL, TFIDF_WHOLE = (100, 2000), (500, 20_000)
-
-
-def _tfidf_terms(spark, sf_dir, of):
-    return _grams(spark, sf_dir, *of)[2].select("term", "df", "total", rounded(F.col("idf")).alias("idf"))
-
-
-def _tfidf_weights(spark, sf_dir, of):
-    _, counts, terms = _grams(spark, sf_dir, *of)
-    return classifier.tf_idf(counts, terms, "key").groupBy("key").agg(F.count("*").alias("n"), F.round(F.sum("weight"), 5).alias("total"))
+def _grams(spark, sf_dir):
+    """Counts of terms by window, and the vocabulary. The counts are cheaper to make twice than to keep."""
+    rows = classifier.word_windows(views.chapters(spark, sf_dir)).withColumn("key", F.concat_ws("/", "doc_id", "win_idx"))
+    counts = classifier.grams(rows, "key")
+    return counts, saved(classifier.vocabulary(counts, rows.agg(F.count("*").alias("n"))))
 
 
 @query
 def tfidf_terms(spark, sf_dir):
-    """M1 at the size of its SQL: the vocabulary with document frequencies."""
-    return _tfidf_terms(spark, sf_dir, TFIDF_SQL)
-
-
-@query
-def whole_tfidf_terms(spark, sf_dir):
     """M1: the vocabulary with document frequencies."""
-    return _tfidf_terms(spark, sf_dir, TFIDF_WHOLE)
+    return _grams(spark, sf_dir)[1].select("term", "df", "total", rounded(F.col("idf")).alias("idf"))
 
 
 @query
 def tfidf_weights(spark, sf_dir):
-    """M1 at the size of its SQL: sublinear tf-idf of unit length, summed up per window."""
-    return _tfidf_weights(spark, sf_dir, TFIDF_SQL)
-
-
-@query
-def whole_tfidf_weights(spark, sf_dir):
     """M1: sublinear tf-idf of unit length, summed up per window."""
-    return _tfidf_weights(spark, sf_dir, TFIDF_WHOLE)
+    counts, terms = _grams(spark, sf_dir)
+    return classifier.tf_idf(counts, terms, "key").groupBy("key").agg(F.count("*").alias("n"), F.round(F.sum("weight"), 5).alias("total"))
 
 
 @query
@@ -298,9 +306,10 @@ def style_classifier(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", F.col("lang").alias("label"))
     rows = classifier.group_split(classifier.word_windows(docs)).withColumn("key", F.concat_ws("/", "doc_id", "win_idx"))
     train = rows.where("NOT is_test")
-    terms = classifier.vocabulary(classifier.grams(train, "key"), train.agg(F.count("*").alias("n"))).cache()
+    terms = classifier.vocabulary(classifier.grams(train, "key"), train.agg(F.count("*").alias("n")))
+    terms = saved(terms)
     features = classifier.vectors(classifier.tf_idf(classifier.grams(rows, "key"), terms, "key"), terms, "key")
-    named = features.join(rows.select("key", "label", "is_test"), "key").cache()
+    named = saved(features.join(rows.select("key", "label", "is_test"), "key"))  # every step of the fit reads it
     fitted = classifier.train(named.where("NOT is_test").select("label", "features"))
     report = classifier.class_report(fitted.transform(named.where("is_test")))
     return report.select("class", "support", *(rounded(F.col(c), 3).alias(c) for c in ("precision", "recall", "f1")))
@@ -327,18 +336,34 @@ def class_report(spark, sf_dir):
 
 @query
 def catalog_matches(spark, sf_dir):
-    """Works in the catalog by author."""
+    """Works by author in a catalog that is read from CSV, line breaks and quotes in its titles."""
+    authors, path = registers.author_dimension(registers.registers(spark)), fresh_path(spark, "catalog")
+    blank = [F.lit("").alias(c) for c in ("Issued", "Subjects", "LoCC", "Bookshelves")]
+    rows = views.catalog(spark, sf_dir).select("*", *blank)
+    rows.select("Text#", "Type", "Issued", "Title", "Language", "Authors", "Subjects", "LoCC", "Bookshelves").write.csv(path, header=True, escape='"')
+    works = ingest.author_works(ingest.catalog_works(readers.catalog(spark, path)), authors)
+    out = saved(works.groupBy("author").agg(F.count("*").alias("n"), F.min("pg_id").alias("first_id"), F.max("work_title").alias("last_title")))
+    removed(spark, path)
+    return out
+
+
+def _works(spark, sf_dir):
     authors = registers.author_dimension(registers.registers(spark))
-    works = ingest.author_works(ingest.catalog_works(views.catalog(spark, sf_dir)), authors)
-    return works.groupBy("author").agg(F.count("*").alias("n"), F.min("pg_id").alias("first_id"))
+    return ingest.author_works(ingest.catalog_works(views.catalog(spark, sf_dir)), authors)
+
+
+@query
+def resumed_works(spark, sf_dir):
+    """What of each author's first thirty works is new when the first five are there."""
+    works = _works(spark, sf_dir)
+    seen = ingest.first_works(works, 5).withColumn("author_slug", T.slug(F.col("author")))
+    return ingest.new_works(ingest.first_works(works, 30), seen).select("author_slug", "work_slug", "pg_id")
 
 
 @query
 def ingested_works(spark, sf_dir):
-    """Each author's first thirty works, without repeats of a slug."""
-    authors = registers.author_dimension(registers.registers(spark))
-    works = ingest.author_works(ingest.catalog_works(views.catalog(spark, sf_dir)), authors)
-    fresh = ingest.first_works(ingest.new_works(ingest.first_works(works, 30)), 10)
+    """Each author's first thirty works, without repeats of a slug."""
+    fresh = ingest.first_works(ingest.new_works(ingest.first_works(_works(spark, sf_dir), 30)), 10)
     return fresh.select("author", "author_slug", "work_slug", "work_title", "pg_id")
 
 
@@ -349,14 +374,104 @@ def chapter_split(spark, sf_dir):
     return ingest.chapters(works).select("work", "chapter_num", T.space_words(F.col("body")).alias("words"), F.length("body").alias("chars"), F.md5(F.col("body").cast("binary")).alias("body_md5"))
 
 
-@query
-def manifest_tally(spark, sf_dir):
-    """Chapters and words by register with a total."""
+def _chapters_of_works(spark, sf_dir):
     works = views.works(spark, sf_dir).withColumn("text", T.without_markers(F.col("text")))
     names = F.array(*(F.lit(r[0]) for r in K.REGISTERS))
     works = works.select("text", F.concat(F.lit("author "), (F.col("work") % 7).cast("string")).alias("author"), F.element_at(names, (F.col("work") % 5 + 1).cast("int")).alias("cluster"), F.concat(F.lit("Work "), F.col("work").cast("string")).alias("work_title"), F.col("work").cast("string").alias("pg_id"))
-    works = works.withColumns({"author_slug": T.slug(F.col("author")), "work_slug": T.slug(F.col("work_title"))})
-    return ingest.manifest_tally(ingest.manifest(ingest.chapters(works)))
+    return ingest.chapters(works.withColumns({"author_slug": T.slug(F.col("author")), "work_slug": T.slug(F.col("work_title"))}))
+
+
+@query
+def manifest_tally(spark, sf_dir):
+    """Chapters and words by register with a total."""
+    return ingest.manifest_tally(ingest.manifest(_chapters_of_works(spark, sf_dir)))
+
+
+@query
+def stored_manifest(spark, sf_dir):
+    """chapters' texts and their manifest, written in two runs of which the second adds what the first lacks, and read back."""
+    path, chapters = fresh_path(spark, "project"), saved(_chapters_of_works(spark, sf_dir))
+    every = ingest.manifest(chapters)
+    writers.chapter_texts(chapters, f"{path}/chapters")
+    writers.json_lines(every.where("cast(pg_id AS long) % 2 = 0"), f"{path}/first")
+    writers.json_lines(ingest.extended_manifest(readers.manifest(spark, f"{path}/first"), every), f"{path}/second")
+    bodies = spark.read.parquet(f"{path}/chapters").select("work_slug", "chapter_num", F.md5(F.col("body").cast("binary")).alias("body_md5"))
+    out = saved(readers.manifest(spark, f"{path}/second").join(bodies, ["work_slug", "chapter_num"]).select("path", "cluster", "pg_id", "chapter_num", "words", "chars", "body_md5"))
+    removed(spark, path)
+    return out
+
+
+@query
+def whole_text_scan(spark, sf_dir):
+    """Works as text files, each read whole."""
+    path = fresh_path(spark, "texts")
+    views.works(spark, sf_dir).select(F.col("text").alias("value"), "work").write.partitionBy("work").text(path)
+    rows = readers.whole_texts(spark, path)
+    text = T.without_markers(F.col("text"))
+    out = saved(rows.select(F.regexp_extract("path", r"work=(\d+)", 1).cast("long").alias("work"), F.length(text).alias("chars"), F.md5(text.cast("binary")).alias("text_md5")))
+    removed(spark, path)
+    return out
+
+
+@query
+def resumed_briefs(spark, sf_dir):
+    """Briefs as JSON lines in three runs, of which the second adds what the first lacks and the third has later versions; the last of each key counts."""
+    path = fresh_path(spark, "briefs")
+    shown = [F.col("path").cast("string").alias("chapter_path"), "chunk_idx", "brief", "author", F.col("register").alias("cluster")]
+    rows = saved(views.briefs(views.chunks(spark, sf_dir)).select(*shown))
+    keys = ["chapter_path", "chunk_idx"]
+    writers.append_new(rows.where("chunk_idx % 2 = 0"), path, keys, readers.BRIEFS)
+    writers.append_new(rows.unionByName(rows), path, keys, readers.BRIEFS)
+    writers.json_lines(rows.where("cast(chapter_path AS long) % 10 = 0").withColumn("brief", F.concat(F.lit("later: "), F.col("brief"))), path, "append")
+    out = saved(dataset.last_briefs(readers.briefs(spark, path)).select("path", "chunk_idx", "author", "cluster", "brief"))
+    removed(spark, path)
+    return out
+
+
+@query
+def profile_documents(spark, sf_dir):
+    """The rounded profiles with their bigrams, written as JSON and read back."""
+    path = fresh_path(spark, "profile")
+    made = profile.profile_documents(profile.author_profile(_stats(spark, sf_dir)), _bigrams(spark, sf_dir))
+    writers.json_lines(made, f"{path}/lines")
+    read = spark.read.schema(made.schema).json(f"{path}/lines")
+    writers.document(read.agg(F.sort_array(F.collect_list("author")).alias("authors")), f"{path}/one")  # a name per author
+    names = spark.read.schema("authors array<string>").json(f"{path}/one")
+    shown = ("total_words", "median_paragraph_length_sentences", "mean_word_length_chars", "mean_sentence_length_words", "adverb_ly_density_pct", "commas_per_sentence", "nominalization_per_1k_words")
+    out = saved(read.select("author", *shown, F.size("distinguishing_bigrams").alias("n_bigrams"), F.try_element_at("distinguishing_bigrams", F.lit(1))["bigram"].alias("first_bigram")).withColumn("n_authors", F.size(names.scalar())))
+    removed(spark, path)
+    return out
+
+
+@query
+def register_members(spark, sf_dir):
+    """Chapters by the authors of a register that must be there."""
+    dimension, name = views.dimension(spark, sf_dir), K.REGISTERS[2][0]
+    found = registers.of_register(views.chapters(spark, sf_dir).select("doc_id", "author"), registers.known(dimension, name), name)
+    return found.groupBy("author").agg(F.count("*").alias("chapters"))
+
+
+@query
+def cluster_titles(spark, sf_dir):
+    """prose_titles within one cluster, at most twenty of each source."""
+    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("path"), F.col("source").alias("author"), F.lit("w").alias("work_slug"), F.col("doc_id").alias("chapter_num"), F.col("lang").alias("cluster"), T.first_line(F.col("text")).alias("work_title"))
+    return ingest.brief_sources(docs, "en", 20).select("path", "author")
+
+
+@query
+def optimizer_groups(spark, sf_dir):
+    """M9: learning rates of trainable parameters by name, where parts stand for parameters."""
+    kind = F.element_at(F.array(F.lit("lora_A"), F.lit("lora_B"), F.lit("bias")), (F.col("p_partkey") % 3 + 1).cast("int"))
+    parts = table(spark, sf_dir, "part").select(F.concat_ws(".", "p_name", kind).alias("name"), (F.col("p_size") > 10).alias("trainable"))
+    return algebra.parameter_groups(parts).groupBy("group", "learning_rate").agg(F.count("*").alias("n"))
+
+
+@query
+def generated_texts(spark, sf_dir):
+    """What a stand-in for a model makes of user turns, by the parameters that it is given."""
+    turns = table(spark, sf_dir, "conversations").where("role = 'user'").select("conv_id", "turn", T.prompt(F.lit("Plain realism"), F.col("text")).alias("prompt"))
+    made = generation.generated(turns, generation.echo, generation.GenerationConfig(max_new_tokens=40, seed=7))
+    return made.select("conv_id", "turn", F.md5(F.col("generated").cast("binary")).alias("generated_md5"))
 
 
 @query
@@ -383,10 +498,10 @@ def brief_requests(spark, sf_dir):
 
 @query
 def text_scalars(spark, sf_dir):
-    """X1, X6, X11, X14, X15, X18, X33, X36 on every document."""
+    """X1, X11, X14, X15, X18, X33, X36 on every document."""
     t = F.col("text")
     docs = table(spark, sf_dir, "documents")
-    return docs.select("doc_id", T.slug(F.left(t, F.lit(60))).alias("slug"), T.space_words(t).alias("words"), T.adverbs(t).alias("adverbs"), T.nominalizations(t).alias("nominalizations"), T.occurrences(t, ",").cast("int").alias("commas"), F.length(T.unwrapped(t)).alias("chars"), F.size(T.paragraphs(t, r"\n")).alias("paragraphs"))
+    return docs.select("doc_id", F.md5(T.slug(t).cast("binary")).alias("slug_md5"), T.space_words(t).alias("words"), T.adverbs(t).alias("adverbs"), T.nominalizations(t).alias("nominalizations"), T.occurrences(t, ",").cast("int").alias("commas"), F.length(T.unwrapped(t)).alias("chars"), F.size(T.paragraphs(t, r"\n")).alias("paragraphs"))
 
 
 @query
@@ -424,13 +539,12 @@ def label_centroids(spark, sf_dir):
 
 @query
 def parameter_tally(spark, sf_dir):
-    """Trainable share, where parts stand for parameters."""
+    """Trainable share, where parts stand for parameters."""
     parts = table(spark, sf_dir, "part").select(F.col("p_name").alias("name"), F.col("p_size").alias("size"), (F.col("p_type") == "ECONOMY").alias("trainable"))
     return algebra.parameter_share(parts)
 
 
 @query
 def event_windows(spark, sf_dir):
-    """The batch form of the streaming counts."""
-    events = table(spark, sf_dir, "events")
-    return events.groupBy(F.window("ts", "1 hour").alias("w"), "event_type").agg(F.count("*").alias("n")).select(F.col("w.start").alias("start"), "event_type", "n")
+    """The streaming counts, over a table that is complete."""
+    return incremental.windowed_counts(table(spark, sf_dir, "events"), window="1 hour").select("start", "event_type", "n")

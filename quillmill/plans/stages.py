@@ -20,6 +20,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from ..functions import text as T, tokenizers
 from ..operators import burrows, chunking, classifier, dataset, evalset, generation, ingest, profile, registers
 from ..sources import readers, writers
+from ..sources.shared import exists, saved
 
 
 @dataclass(frozen=True)
@@ -87,17 +88,12 @@ def _chapters(spark: SparkSession, root: str) -> DataFrame:
     return spark.read.parquet(f"{root}/chapters")
 
 
-def _exists(spark: SparkSession, path: str) -> bool:
-    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    return hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(hadoop)
-
-
 def run_ingest(spark: SparkSession, root: str, c: IngestConfig, fetch: Callable[[DataFrame], DataFrame] = readers.fetched_texts) -> DataFrame:
     """New chapters and their tally. fetch adds text to works that have urls."""
     authors = registers.author_dimension(registers.registers(spark))
     authors = authors if c.register is None else authors.where(F.col("register") == c.register)
     works = ingest.author_works(ingest.catalog_works(readers.catalog(spark, c.catalog)), authors)
-    seen = _chapters(spark, root).select(T.slug(F.col("author")).alias("author_slug"), "work_slug") if _exists(spark, f"{root}/chapters") else None
+    seen = _chapters(spark, root).select(T.slug(F.col("author")).alias("author_slug"), "work_slug") if exists(spark, f"{root}/chapters") else None
     # Three times as many works are looked at as are kept: some have no text or no chapters.
     wanted = ingest.new_works(ingest.first_works(works, 3 * c.max_works), seen)
     urls = F.array(*(F.replace(F.lit(u), F.lit("{id}"), F.col("pg_id")) for u in c.text_urls)) if c.text_urls else F.array().cast("array<string>")
@@ -129,11 +125,11 @@ def run_registers(spark: SparkSession, root: str) -> DataFrame:
     return spark.read.json(f"{root}/registers/verdicts")
 
 
-def run_briefs(spark: SparkSession, root: str, c: BriefRunConfig, tokenizer: tokenizers.Tokenizer, factory: Callable[[], generation.Provider] | None = None) -> DataFrame:
+def run_briefs(spark: SparkSession, root: str, c: BriefRunConfig, tokenizer: tokenizers.Tokenizer, factory: generation.Factory | None = None) -> DataFrame:
     """Briefs of the chunks that have none yet, appended. Without a provider they are extractive."""
     chapters = ingest.brief_sources(_chapters(spark, root), c.register, c.chapters_per_author, c.seed)
     chunks = chunking.chunk_documents(chapters, tokenizer, chunking.chunk_budget(c.seq_len), doc_id="path", decode=True)
-    if _exists(spark, f"{root}/briefs"):
+    if exists(spark, f"{root}/briefs"):
         chunks = chunks.join(readers.briefs(spark, f"{root}/briefs").select("path", "chunk_idx"), ["path", "chunk_idx"], "left_anti")
     shown = chunks.select("path", "chunk_idx", "text")
     config = generation.BriefConfig(context_chars=c.context_chars)
@@ -177,6 +173,8 @@ def run_burrows(spark: SparkSession, root: str, c: BurrowsConfig = BurrowsConfig
     writers.document(burrows.index_document(words, scaled, centres), f"{root}/burrows/index")
     writers.json_lines(burrows.cohesion(vectors, centres), f"{root}/burrows/cohesion")
     writers.json_lines(burrows.pairwise_delta(centres), f"{root}/burrows/delta")
+    counts.unpersist()
+    vectors.unpersist()
     return spark.read.json(f"{root}/burrows/delta")
 
 
@@ -194,6 +192,8 @@ def run_classifier(spark: SparkSession, root: str, c: ClassifierConfig = Classif
     predicted = fitted.transform(named.where("is_test")).select("label", "predicted").persist()
     writers.json_lines(classifier.confusion(predicted), f"{root}/classifier/confusion")
     writers.json_lines(classifier.class_report(predicted), f"{root}/classifier/report")
+    for df in (rows, terms, named, predicted):
+        df.unpersist()
     return spark.read.json(f"{root}/classifier/report")
 
 
@@ -205,14 +205,25 @@ def run_eval_briefs(spark: SparkSession, root: str, c: EvalConfig = EvalConfig()
     briefs = readers.briefs(spark, f"{root}/briefs").withColumnRenamed("cluster", "register")
     last = dataset.last_briefs(briefs)
     split = _split(last.select("path", "chunk_idx"), briefs, c)
-    stored = [n for (n,) in ((r["name"],) for r in registers.registers(spark).select("name").collect()) if _exists(spark, f"{root}/dataset/{n}")]  # five names
+    stored = [n for (n,) in ((r["name"],) for r in registers.registers(spark).select("name").collect()) if exists(spark, f"{root}/dataset/{n}")]  # five names
     for name in stored:
         held = spark.read.parquet(f"{root}/dataset/{name}").select(F.lit(name).alias("register"), "split")
         if not evalset.split_differences(split.where(F.col("register") == name), held).where("NOT same").isEmpty():
             raise ValueError(f"the stored split of {name} differs from the replayed one")
-    judged = evalset.judged_briefs(evalset.test_briefs(last, split)).persist()
+    judged = saved(evalset.judged_briefs(evalset.test_briefs(last, split)))
     kept = judged.where("reason = 'kept'")
     row = [F.col("register").alias("source_register"), "brief", F.col("path").alias("source_chapter"), F.col("chunk_idx").alias("source_chunk_idx")]
     writers.json_lines(evalset.sampled(kept, c.per_register, c.seed).select("brief_id", "brief_key", *row), f"{root}/eval/register")
     writers.json_lines(evalset.instruction_probe(kept, evalset.constraints(spark), c.seed + 1).select("brief_id", *row, "constraint_id", "constraint_text"), f"{root}/eval/instruction")
     return evalset.attrition(judged)
+
+
+def run_generate(spark: SparkSession, root: str, c: generation.GenerationConfig = generation.GenerationConfig(), factory: generation.Factory = generation.echo) -> DataFrame:
+    """Texts for the held-out briefs of every register, by a provider; and whether each keeps its constraint."""
+    shown = registers.registers(spark).select(F.col("name").alias("source_register"), "display")
+    briefs = [spark.read.json(f"{root}/eval/{k}").select("brief_id", "source_register", "brief", *([] if k == "register" else ["constraint_id"])) for k in ("register", "instruction")]
+    every = briefs[0].unionByName(briefs[1], allowMissingColumns=True).join(F.broadcast(shown), "source_register")
+    made = generation.generated(every.withColumn("prompt", T.prompt(F.col("display"), F.col("brief"))), factory, c).drop("prompt", "display")
+    writers.json_lines(made.withColumn("kept", evalset.checks_constraint("generated")), f"{root}/generated")
+    writers.run_config(spark, c, f"{root}/generated.config")
+    return spark.read.json(f"{root}/generated").groupBy("source_register").agg(F.count("*").alias("texts"))

@@ -2,8 +2,7 @@
 
 ``documents`` are chapters, their ``source`` is the author, and the register of
 source number n is the (n mod 5)-th of the five. Their texts have single line ends
-between paragraphs. Every view covers the whole
-table, but for ``chunks`` where it is asked for less.
+between paragraphs. Every view covers the whole table.
 """
 
 from __future__ import annotations
@@ -36,10 +35,10 @@ def dimension(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.join(F.broadcast(shown), "name").select("name", "display", "authors", "style_hint")
 
 
-def chunks(spark: SparkSession, sf_dir: str, whole: bool = True) -> DataFrame:
-    """path (the doc_id), chunk_idx, n_paragraphs, n_tokens, is_chapter_end, text, author, register. Only with whole are there chunks of paragraphs above CHUNK_TOKENS."""
+def chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """path (the doc_id), chunk_idx, n_paragraphs, n_tokens, is_chapter_end, text, author, register."""
     docs = chapters(spark, sf_dir)
-    made = chunking.paragraph_chunks(docs, CHUNK_TOKENS, 1, r"\n", split_long=whole).withColumnRenamed("doc_id", "path")
+    made = chunking.paragraph_chunks(docs, CHUNK_TOKENS, 1, r"\n").withColumnRenamed("doc_id", "path")
     return made.join(docs.select(F.col("doc_id").alias("path"), "author", "register"), "path")
 
 
@@ -49,9 +48,10 @@ def briefs(chunks_: DataFrame) -> DataFrame:
 
 
 def catalog(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Titles are first lines, with a subtitle on a line of its own."""
     docs = table(spark, sf_dir, "documents")
     kind = F.when(F.col("source") == "src3", "Sound").otherwise("Text")
-    return docs.select(F.col("doc_id").cast("string").alias("Text#"), kind.alias("Type"), F.left("text", F.lit(40)).alias("Title"), F.col("lang").alias("Language"), _of(CATALOG_AUTHORS, F.col("source")).alias("Authors"), F.col("doc_id").alias("position"))
+    return docs.select(F.col("doc_id").cast("string").alias("Text#"), kind.alias("Type"), F.concat(F.split_part("text", F.lit("\n"), F.lit(1)), F.lit("\nA subtitle, \"quoted\"")).alias("Title"), F.col("lang").alias("Language"), _of(CATALOG_AUTHORS, F.col("source")).alias("Authors"), F.col("doc_id").alias("position"))
 
 
 def works(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -20,7 +20,7 @@ def catalog(spark: SparkSession, path: str) -> DataFrame:
 
 
 def cached_file(url: str, path: str, refresh: bool = False) -> str:
-    """path, after downloading url into it unless it is there already; a driver-side step."""
+    """path, after downloading url into it unless it is there already. A source step of the driver: on a cluster path lies in a folder that all share."""
     target = Path(path)
     if refresh or not target.exists():
         target.parent.mkdir(parents=True, exist_ok=True)
@@ -66,9 +66,10 @@ def manifest(spark: SparkSession, path: str, cluster: str | None = None) -> Data
 
 
 def briefs(spark: SparkSession, path: str) -> DataFrame:
-    """Briefs with the path as key; line tells later rows from earlier ones."""
+    """Briefs with the path as key; line tells later rows from earlier ones: by the time their file was written, then by their place in it."""
     rows = spark.read.schema(BRIEFS).json(path)
-    return rows.withColumnRenamed("chapter_path", "path").withColumn("line", F.monotonically_increasing_id())
+    line = F.struct("_metadata.file_modification_time", "_metadata.file_path", "_metadata.file_block_start", F.monotonically_increasing_id().alias("at"))
+    return rows.select(F.col("chapter_path").alias("path"), "chunk_idx", "brief", "author", "cluster", line.alias("line"))
 
 
 def whole_texts(spark: SparkSession, path: str) -> DataFrame:

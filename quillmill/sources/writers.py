@@ -7,6 +7,8 @@ from dataclasses import asdict, is_dataclass
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from .shared import exists
+
 
 def chapter_texts(chapters: DataFrame, path: str) -> None:
     """Bodies by author and work; partition folders stand for the tree of text files."""
@@ -18,15 +20,10 @@ def json_lines(rows: DataFrame, path: str, mode: str = "overwrite") -> None:
 
 
 def append_new(rows: DataFrame, path: str, keys: list[str], schema: str) -> None:
-    """Append the rows whose key isn't there yet; running it again adds nothing."""
-    spark = rows.sparkSession
-    try:
-        old = spark.read.schema(schema).json(path).select(*keys)
-        old.limit(1).count()
-        rows = rows.join(old.distinct(), keys, "left_anti")
-    except Exception as e:  # only a folder that isn't there yet
-        if "PATH_NOT_FOUND" not in str(e):
-            raise
+    """Append the rows whose key isn't there yet, of equal keys one; running it again adds nothing."""
+    spark, rows = rows.sparkSession, rows.dropDuplicates(keys)
+    if exists(spark, path):
+        rows = rows.join(spark.read.schema(schema).json(path).select(*keys).distinct(), keys, "left_anti")
     rows.write.mode("append").json(path)
 
 

@@ -3,6 +3,7 @@ import json
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
+from quillmill.functions import text as T
 from quillmill.operators import algebra, generation, ingest, registers
 from quillmill.sources import readers, writers
 from quillmill.streaming import incremental
@@ -130,7 +131,7 @@ def test_adapters(spark):
 
 def test_generation_plug(spark):
     rows = spark.createDataFrame([("A man. He",), ("",)], "text string")
-    out = generation.synthesized_briefs(rows, lambda: lambda prompts: [f"{p} Brief: said {len(p)}\nmore" for p in prompts])
+    out = generation.synthesized_briefs(rows, lambda config: lambda prompts: [f"{p} Brief: said {len(p)} {config.temperature}\nmore" for p in prompts])
     assert all(r["brief"].startswith("said") for r in out.collect())
     assert [r["brief"] for r in generation.extractive_briefs(rows).collect()] == ["A man."]
 
@@ -166,3 +167,32 @@ def test_upsert(spark, times):
     for _ in range(times):
         incremental.upserted(rows, f"upsert_{times}", ["k"])
     assert spark.table(f"upsert_{times}").count() == 2
+
+
+def test_unaccented_is_python_s_decomposition(spark):
+    import unicodedata
+
+    every = "".join(chr(k) for k in [*range(1, 0xD800), *range(0xE000, 0x30000)] if unicodedata.category(chr(k)) not in ("Cn", "Co") and not 0xAC00 <= k <= 0xD7A3)
+    rows = [(k, every[k : k + 500]) for k in range(0, len(every), 500)] + [(-1, "Brontë e\u0301É ẞ")]
+    got = {r["k"]: r["u"] for r in spark.createDataFrame(rows, "k int, t string").select("k", T.unaccented(F.col("t")).alias("u")).collect()}
+    bare = lambda t: "".join(x for x in unicodedata.normalize("NFD", t) if unicodedata.category(x) != "Mn")
+    same = sum(unicodedata.normalize("NFD", got[k]) == unicodedata.normalize("NFD", bare(t).lower()) for k, t in rows)
+    assert got[-1] == "bronte ee ß" and same >= 0.97 * len(rows)
+
+
+def test_later_lines_win_whatever_their_files_are_called(spark, tmp_path):
+    from quillmill.operators import dataset
+
+    path = str(tmp_path / "b")
+    for k in range(4):
+        rows = [("p", j, f"brief {k}" if j < 40 else "x" * 2000 * (4 - k), "a", "c") for j in range(50 if k else 300)]
+        spark.createDataFrame(rows, readers.BRIEFS).coalesce(1).write.mode("append").json(path)
+    last = {r["chunk_idx"]: r["brief"] for r in dataset.last_briefs(readers.briefs(spark, path)).collect()}
+    assert len(last) == 300 and {last[j] for j in range(40)} == {"brief 3"} and last[45] == "x" * 2000
+
+
+def test_append_new_takes_one_of_equal_keys(spark, tmp_path):
+    rows = spark.createDataFrame([("p", 0, "a", "x", "c"), ("p", 0, "b", "x", "c"), ("p", 1, "c", "x", "c")], readers.BRIEFS)
+    for _ in range(2):
+        writers.append_new(rows, str(tmp_path / "n"), ["chapter_path", "chunk_idx"], readers.BRIEFS)
+    assert readers.briefs(spark, str(tmp_path / "n")).count() == 2

@@ -7,8 +7,8 @@ from helpers import SMALL
 from quillmill.plans import registry
 from quillmill.sources import tables
 
-#: They run a tokenizer, a decomposition of characters or a model outside the JVM.
-PYTHON = {"document_chunks", "catalog_matches", "ingested_works", "style_classifier", "top_directions"}
+#: They run a tokenizer, a provider or a model outside the JVM.
+PYTHON = {"document_chunks", "generated_texts", "style_classifier", "top_directions"}
 
 
 def plan(df) -> str:

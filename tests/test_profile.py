@@ -109,3 +109,31 @@ def test_equal_frequencies_have_the_least_sigma(spark):
     counts = burrows.word_counts(docs)
     words = burrows.frequent_words(counts, 1)
     assert burrows.scale(burrows.relative_frequencies(counts, words), words, burrows.chapter_count(counts)).first()["sigma"] == 1e-9
+
+
+def test_sparse_steps_equal_the_dense_ones(spark):
+    import random
+
+    rng = random.Random(4)
+    rows = [(k, f"r{k % 3}", " ".join(rng.choices(["aa", "bb", "cc", "dd", "ee"], k=rng.randint(0, 30)))) for k in range(60)]
+    docs = spark.createDataFrame(rows, "doc_id long, register string, text string")
+    counts = burrows.word_counts(docs)
+    words = burrows.frequent_words(counts, 4)
+    assert words.collect() == burrows.frequent_words(burrows.word_totals(docs), 4).collect()
+    dense, sparse = burrows.relative_frequencies(counts, words), burrows.word_frequencies(docs, words, ("doc_id", "register"))
+    assert sorted(map(tuple, dense.collect())) == sorted((r["doc_id"], r["word"], r["freq"]) for r in sparse.collect())
+    sizes = burrows.chapters_with_words(docs, "register")
+    scaled = burrows.scale(sparse, words, burrows.chapter_count(counts))
+    ids = counts.select("doc_id").distinct().join(docs.select("doc_id", "register"), "doc_id")
+    want = {r["register"]: (r["n"], r["z"]) for r in burrows.centroids(burrows.chapter_vectors(dense, scaled, ids)).collect()}
+    order = sorted(r["word"] for r in words.collect())
+    for r in burrows.word_centroids(sparse, scaled, sizes).collect():
+        n, z = want[r["register"]]
+        assert r["n"] == n and r["z"] == pytest.approx(z[order.index(r["word"])], abs=1e-9)
+
+
+def test_more_centroids_than_one_row_may_hold_are_refused(spark, monkeypatch):
+    monkeypatch.setattr(burrows, "MOST_CENTRES", 2)
+    rows = spark.createDataFrame([(k, f"r{k}", [1.0]) for k in range(3)], "doc_id long, register string, z array<double>")
+    with pytest.raises(Exception, match="more than 2 centroids"):
+        burrows.nearest_register(rows, rows.select("register", "z")).collect()
