@@ -3,49 +3,13 @@
 from __future__ import annotations
 
 import gc
-import tempfile
-import uuid
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from ..sources.shared import removed, saved, shared_dir, stored  # noqa: F401
 from ..sources.tables import table  # noqa: F401
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share.
-
-    A cluster names it in ``spark.checkpoint.dir``; only where that is unset and all
-    runs in one process (tests, a laptop) a temporary folder of this machine is used.
-    """
-    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not named:
-        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
-            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
-        named = "file://" + tempfile.mkdtemp(prefix="quillmill-")
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(named)
-    return named
-
-
-def saved(df: DataFrame) -> DataFrame:
-    """df, computed once and kept as files in the shared folder."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
-
-
-def stored(df: DataFrame) -> tuple[DataFrame, str]:
-    """df, written to a compressed table in the shared folder and read again, and its path, for ``removed``."""
-    path = f"{shared_dir(df.sparkSession)}/table-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path), path
-
-
-def removed(spark: SparkSession, path: str) -> None:
-    """Deletes what lies at path in whatever file system it names."""
-    at = spark._jvm.org.apache.hadoop.fs.Path(path)
-    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
-
-
 def released(spark: SparkSession) -> None:
     """Lets shuffle files and checkpoints of finished steps go.
 
