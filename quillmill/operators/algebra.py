@@ -49,13 +49,32 @@ def _without(out: Column, vector: Column, axis: Column) -> Column:
 
 
 def projected(vector: Column, directions: np.ndarray) -> Column:
-    """vector less its part in the span of the orthonormal directions, in the JVM."""
+    """vector less its part in the span of a few orthonormal directions, in the JVM; each component is a literal of the plan."""
     out = vector.cast("array<double>")
     for u in directions.T:
         out = _without(out, vector.cast("array<double>"), F.array(*(F.lit(float(x)) for x in u)))
     return out
 
 
+def without_directions(rows: DataFrame, directions: np.ndarray, vector: str = "embedding") -> DataFrame:
+    """rows with their vectors less the parts in the span of any number of orthonormal directions, which travel to the workers as one matrix."""
+    shared = rows.sparkSession.sparkContext.broadcast(directions)  # dimension x k
+    kinds = ", ".join(f"`{f.name}` {'array<double>' if f.name == vector else f.dataType.simpleString()}" for f in rows.schema)
+
+    def run(batches):
+        u = shared.value
+        for b in batches:
+            at = b.schema.get_field_index(vector)
+            column = b.column(at)
+            held = np.flatnonzero(np.asarray(column.is_valid()))
+            x = np.asarray(column.take(pa.array(held)).flatten(), np.float64).reshape(len(held), -1) if len(held) else np.zeros((0, len(u)))
+            left = iter(x - (x @ u) @ u.T)
+            out = pa.array([next(left) if ok else None for ok in column.is_valid().to_pylist()], pa.list_(pa.float64()))
+            yield b.set_column(at, pa.field(vector, out.type), out)
+
+    return rows.mapInArrow(run, kinds)
+
+
 def top_left_singular(weight: np.ndarray, k: int) -> np.ndarray:
     """Leading left singular vectors of a matrix in memory; k at most its rows less one."""
     k = min(k, weight.shape[0] - 1)

@@ -526,7 +526,7 @@ def projection(spark, sf_dir):
 def top_directions(spark, sf_dir):
     """M4: embeddings without their eight strongest directions."""
     rows = table(spark, sf_dir, "embeddings")
-    out = rows.select("vec_id", algebra.projected(F.col("embedding"), algebra.top_directions(rows, 8)).alias("p"))
+    out = algebra.without_directions(rows.select("vec_id", F.col("embedding").alias("p")), algebra.top_directions(rows, 8), "p")
     return out.select("vec_id", F.round(F.aggregate("p", F.lit(0.0), lambda s, x: s + x * x), 6).alias("square"))
 
 

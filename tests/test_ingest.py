@@ -196,3 +196,15 @@ def test_append_new_takes_one_of_equal_keys(spark, tmp_path):
     for _ in range(2):
         writers.append_new(rows, str(tmp_path / "n"), ["chapter_path", "chunk_idx"], readers.BRIEFS)
     assert readers.briefs(spark, str(tmp_path / "n")).count() == 2
+
+
+def test_many_directions_are_taken_out_as_one_matrix(spark):
+    rng = np.random.default_rng(3)
+    u = np.linalg.qr(rng.normal(size=(12, 5)))[0]
+    x = rng.normal(size=(30, 12))
+    rows = spark.createDataFrame([(k, v.tolist()) for k, v in enumerate(x)] + [(99, None)], "id int, v array<float>")
+    got = {r["id"]: r["v"] for r in algebra.without_directions(rows, u, "v").collect()}
+    native = {r["id"]: r["p"] for r in rows.select("id", algebra.projected(F.col("v"), u).alias("p")).collect()}
+    assert got[99] is None
+    for k in range(30):
+        assert got[k] == pytest.approx(native[k], abs=1e-9) and got[k] @ u == pytest.approx(np.zeros(5), abs=1e-6)
