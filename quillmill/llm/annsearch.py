@@ -234,7 +234,7 @@ def _calibrated(queries: DataFrame, rows: DataFrame, n: int, k: int, c: CrossPol
 
 
 def _probes_needed(asked: dict, true: dict, hashes: int, most: int, c: CrossPolytope) -> int | None:
-    """The least power of two of probes that collects the target share of true neighbours, if most do."""
+    """The first of a ladder of probes that collects the target share of true neighbours, if most do."""
     ranks = []
     for dim, queries in asked.items():
         for start in range(0, len(queries), 16):  # so many lists of probes are held at once
@@ -255,7 +255,7 @@ def _probes_needed(asked: dict, true: dict, hashes: int, most: int, c: CrossPoly
     while (ranks <= probes).mean() < c.target:
         if probes >= most:
             return None
-        probes = min(2 * probes, most)
+        probes = min(probes + max(1, probes // 4), most)
     return probes
 
 
