@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from ..functions import text as T, tokenizers
 from ..operators import burrows, chunking, classifier, dataset, evalset, generation, ingest, profile, registers
 from ..sources import readers, writers
-from ..sources.shared import exists, saved
+from ..sources.shared import exists, fresh_path, removed, saved
 
 
 @dataclass(frozen=True)
@@ -182,18 +182,18 @@ def run_classifier(spark: SparkSession, root: str, c: ClassifierConfig = Classif
     """A fitted model of registers and its report on held-out chapters."""
     chapters = _chapters(spark, root).select("path", "text", F.col("cluster").alias("label"))
     windows = classifier.word_windows(chapters, c.window, "path")
-    rows = classifier.group_split(windows, c.test_share, c.seed, "path").withColumn("key", F.concat_ws("#", "path", "win_idx")).persist()
+    rows = classifier.group_split(windows, c.test_share, c.seed, "path").select("label", "is_test", "window")
     train = rows.where("NOT is_test")
-    terms = classifier.vocabulary(classifier.grams(train, "key"), train.agg(F.count("*").alias("n")), c.features, c.least_docs).persist()
-    features = classifier.vectors(classifier.tf_idf(classifier.grams(rows, "key"), terms, "key"), terms, "key")
-    named = features.join(rows.select("key", "label", "is_test"), "key").persist()
+    terms = classifier.vocabulary(classifier.term_lists(train), train.agg(F.count("*").alias("n")), c.features, c.least_docs).persist()
+    named = classifier.stored_vectors(classifier.tf_idf(classifier.term_lists(rows), terms), terms.count(), path := fresh_path(spark, "features"))
     fitted = classifier.train(named.where("NOT is_test").select("label", "features"), c=c.c, steps=c.steps)
     writers.model(fitted, f"{root}/classifier/model")
     predicted = fitted.transform(named.where("is_test")).select("label", "predicted").persist()
     writers.json_lines(classifier.confusion(predicted), f"{root}/classifier/confusion")
     writers.json_lines(classifier.class_report(predicted), f"{root}/classifier/report")
-    for df in (rows, terms, named, predicted):
+    for df in (terms, predicted):
         df.unpersist()
+    removed(spark, path)
     return spark.read.json(f"{root}/classifier/report")
 
 
