@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+from functools import lru_cache
 from typing import Protocol
 
 from pyspark.sql import Column, DataFrame, functions as F
@@ -21,19 +22,23 @@ class Tokenizer(Protocol):
     def decode(self, ids: list[int]) -> str: ...
 
 
+@lru_cache(maxsize=1 << 16)
+def _word_id(token: str) -> int:
+    return int(hashlib.md5(token.encode()).hexdigest()[:7], 16)
+
+
 class WordTokenizer:
-    """Ids are the first 28 bits of a token's MD5; decoding knows the tokens seen by this object."""
+    """Ids are the first 28 bits of a token's MD5; decoding knows the tokens seen by this object, unless it is to remember none."""
 
-    def __init__(self) -> None:
-        self.pattern, self.seen = re.compile(TOKEN), {}
+    def __init__(self, remembers: bool = True) -> None:
+        self.pattern, self.seen, self.remembers = re.compile(TOKEN), {}, remembers
 
     def encode(self, text: str) -> list[int]:
-        out = []
-        for token in self.pattern.findall(text):
-            i = int(hashlib.md5(token.encode()).hexdigest()[:7], 16)
-            self.seen[i] = token
-            out.append(i)
-        return out
+        tokens_ = self.pattern.findall(text)
+        ids = [_word_id(t) for t in tokens_]
+        if self.remembers:
+            self.seen.update(zip(ids, tokens_, strict=True))
+        return ids
 
     def decode(self, ids: list[int]) -> str:
         return " ".join(self.seen.get(i, "?") for i in ids)

@@ -9,8 +9,9 @@ split paragraphs that are too long.
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
@@ -18,6 +19,8 @@ from ..functions import constants as K, text as T, tokenizers
 from ..functions.columns import once
 
 PROMPT_BUDGET = 64
+#: A Python worker gives its chunks away when they hold so many tokens.
+BATCH_TOKENS = 1 << 18
 _SENTENCE = re.compile(rf"(?<=[{K.SENTENCE_END}])\s+(?=[{K.SENTENCE_START}])")
 
 
@@ -79,24 +82,34 @@ def chunk_text(text: str, tokenizer: tokenizers.Tokenizer, most: int, eos: int |
     return chunks
 
 
+def chunk_batches(batches: Iterable[pa.RecordBatch], names: list[str], tokenizer: tokenizers.Tokenizer, most: int, eos: int | None, between: str, decode: bool) -> Iterator[pa.RecordBatch]:
+    """Chunks of batches of ids and texts. A text at a time is held as Python objects, and finished chunks are given away by BATCH_TOKENS."""
+    kinds = (pa.int32(), pa.int32(), pa.bool_(), pa.list_(pa.int32()), *([pa.string()] if decode else []))
+
+    def made(b, of, out):
+        columns = list(zip(*out, strict=True)) or [()] * len(kinds)
+        return pa.RecordBatch.from_arrays([b.column(0).take(pa.array(of, pa.int64())), *(pa.array(c, k) for c, k in zip(columns, kinds, strict=True))], names)
+
+    for b in batches:
+        of, out, held = [], [], 0
+        for row, t in enumerate(b.column("text")):
+            chunks = chunk_text(t.as_py(), tokenizer, most, eos, between)
+            for k, ids in enumerate(chunks):
+                of.append(row)
+                out.append((k, len(ids), k == len(chunks) - 1, np.array(ids, np.int32), *([tokenizer.decode(ids)] if decode else [])))
+                held += len(ids)
+                if held >= BATCH_TOKENS:
+                    yield made(b, of, out)
+                    of, out, held = [], [], 0
+        yield made(b, of, out)
+
+
 def chunk_documents(docs: DataFrame, tokenizer: tokenizers.Tokenizer, most: int = chunk_budget(), eos: int | None = None, doc_id: str = "doc_id", text: str = "text", between: str = K.CHUNK_PARAGRAPH, decode: bool = False) -> DataFrame:
     """(doc_id, chunk_idx, n_tokens, is_chapter_end, input_ids) of every chunk, and its decoded text if asked for."""
     rows = docs.select(doc_id, F.coalesce(F.col(text), F.lit("")).alias("text"))
     names = [doc_id, "chunk_idx", "n_tokens", "is_chapter_end", "input_ids", *(["text"] if decode else [])]
-
-    def run(batches):
-        for b in batches:
-            of, out = [], []
-            for row, t in enumerate(b.column("text").to_pylist()):
-                chunks = chunk_text(t, tokenizer, most, eos, between)
-                of += [row] * len(chunks)
-                out += [(k, len(ids), k == len(chunks) - 1, ids, *([tokenizer.decode(ids)] if decode else [])) for k, ids in enumerate(chunks)]
-            kinds = (pa.int32(), pa.int32(), pa.bool_(), pa.list_(pa.int32()), *([pa.string()] if decode else []))
-            columns = list(zip(*out, strict=True)) or [()] * len(kinds)
-            yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(of, pa.int64())), *(pa.array(c, k) for c, k in zip(columns, kinds, strict=True))], names)
-
     kind = rows.schema[doc_id].dataType.simpleString()
-    return rows.mapInArrow(run, f"{doc_id} {kind}, chunk_idx int, n_tokens int, is_chapter_end boolean, input_ids array<int>" + ", text string" * decode)
+    return rows.mapInArrow(lambda batches: chunk_batches(batches, names, tokenizer, most, eos, between, decode), f"{doc_id} {kind}, chunk_idx int, n_tokens int, is_chapter_end boolean, input_ids array<int>" + ", text string" * decode)
 
 
 def packed_runs(lengths: Column, most: int, separator: int) -> Column:
