@@ -13,6 +13,8 @@ from pyspark.sql import Column, functions as F
 from . import constants as K
 
 _MASK = "\u0001"
+#: What (?U)\\s matches.
+_SPACES = "\t\n\x0b\x0c\r \x85\xa0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u2028\u2029\u202f\u205f\u3000"
 
 
 def _any(words) -> str:
@@ -20,8 +22,8 @@ def _any(words) -> str:
 
 
 def stripped(c: Column) -> Column:
-    """Without white space at both ends."""
-    return F.regexp_replace(c, r"^(?U:\s)+|(?U:\s)+$", "")
+    """Without white space (Unicode's) at both ends. No pattern, which would try every blank inside."""
+    return F.btrim(c, F.lit(_SPACES))
 
 
 def matches(c: Column, pattern: str) -> Column:
@@ -43,7 +45,7 @@ def space_words(c: Column) -> Column:
 
 
 def slug(c: Column) -> Column:
-    return F.regexp_replace(F.regexp_replace(F.lower(c), "[^a-z0-9]+", "-"), "^-|-$", "")
+    return F.btrim(F.regexp_replace(F.lower(c), "[^a-z0-9]+", "-"), F.lit("-"))
 
 
 @lru_cache(maxsize=1)
@@ -76,7 +78,7 @@ def name_forms(name: Column) -> Column:
 
 def paragraphs(c: Column, between: str = K.PROFILE_PARAGRAPH) -> Column:
     """Stripped, not empty; between is a pattern."""
-    return F.filter(F.transform(F.split(c, f"(?U){between}"), stripped), lambda p: p != "")
+    return F.filter(F.transform(F.split(c, "\n" if between == r"\n" else f"(?U){between}"), stripped), lambda p: p != "")
 
 
 def unwrapped(c: Column) -> Column:
@@ -90,12 +92,13 @@ def pieces_by_sentence(c: Column) -> Column:
 
 def sentences(c: Column) -> Column:
     """As pieces_by_sentence, but periods of abbreviations end nothing."""
-    masked = F.regexp_replace(c, rf"(?iU)\b({_any(K.ABBREVIATIONS)})\.", f"$1{_MASK}")
-    return F.transform(pieces_by_sentence(masked), lambda s: F.translate(s, _MASK, "."))
+    masked = F.regexp_replace(c, rf"\.(?<=(?iU:\b(?:{_any(K.ABBREVIATIONS)}))\.)", _MASK)  # only periods are looked at
+    return F.transform(pieces_by_sentence(masked), lambda s: F.replace(s, F.lit(_MASK), F.lit(".")))
 
 
 def adverbs(c: Column) -> Column:
-    return F.regexp_count(c, F.lit(r"(?iU)\b\w+ly\b"))
+    r"""Matches of (?iU)\b\w+ly\b, found from their ends."""
+    return F.regexp_count(c, F.lit(r"(?U)[lL][yY](?<=\B[lL][yY])\b"))
 
 
 def nominalizations(c: Column) -> Column:

@@ -15,13 +15,14 @@ def _is(what: str):
     return lambda e: F.when(e == what, e)
 
 
-def chapter_stats(chapters: DataFrame, text: str = "text", paragraph: str = K.PROFILE_PARAGRAPH) -> DataFrame:
-    """chapters that have a paragraph, with the 16 counters and para_sentence_counts. text goes."""
-    t = F.col(text)
-    df = once(chapters.where(t.isNotNull()), paras=F.transform(T.paragraphs(t, paragraph), T.unwrapped), words=T.words(t)).where(F.size("paras") > 0)
-    df = once(df, lower=T.lowered(F.col("words")), by_para=F.transform("paras", T.sentences))
+def chapter_stats(chapters: DataFrame, text: str = "text", paragraph: str = K.PROFILE_PARAGRAPH, counters: tuple[str, ...] = COUNTERS) -> DataFrame:
+    """chapters that have a paragraph, with the 16 counters, or some of them, and para_sentence_counts. text goes. Words are only cut out for counters of words."""
+    t, worded = F.col(text), any("word" in c for c in counters)
+    paras = F.transform(T.paragraphs(t, paragraph), lambda p: F.when(F.contains(p, F.lit("\n")), T.unwrapped(p)).otherwise(p))
+    df = once(chapters.where(t.isNotNull()), paras=paras, **({"words": T.words(t)} if worded else {})).where(F.size("paras") > 0)
+    df = once(df, by_para=F.transform("paras", T.sentences), **({"lower": T.lowered(F.col("words"))} if worded else {}))
     df = once(df, sents=F.flatten("by_para"))
-    df = once(df, ends=F.transform("sents", T.last_char))
+    df = once(df, ends=F.transform("sents", lambda s: F.substring(s, -1, 1)))  # a paragraph is stripped, so none ends in white space
     size_where = lambda c, f: F.size(F.filter(c, f))
     stats = dict(
         n_chars=F.length(t),
@@ -39,7 +40,7 @@ def chapter_stats(chapters: DataFrame, text: str = "text", paragraph: str = K.PR
         function_word_hits=T.function_words(F.col("lower")),
         **{f"end_{name}": F.size(F.array_compact(F.transform("ends", _is(c)))) for name, c in (("period", "."), ("excl", "!"), ("quest", "?"))},
     )
-    df = once(df, **{k: v.cast("long") for k, v in stats.items()}, para_sentence_counts=F.transform("by_para", F.size))
+    df = once(df, **{k: v.cast("long") for k, v in stats.items() if k in counters}, para_sentence_counts=F.transform("by_para", F.size))
     return df.drop(text, "paras", "words", "lower", "by_para", "sents", "ends")
 
 
@@ -52,14 +53,19 @@ def author_totals(stats: DataFrame, author: str = "author") -> DataFrame:
     """Sums per author, the mean of the chapters' type-token ratios and the upper median of paragraph lengths.
 
     The median is read off a histogram of paragraph lengths, so no author's
-    paragraphs gather in one row.
+    paragraphs gather in one row. Sums and histogram are made together: stats are
+    costly and would be made anew for each.
     """
-    sums = stats.groupBy(author).agg(F.count("*").alias("chapters"), *(F.sum(c).alias(c) for c in COUNTERS), F.avg(F.col("n_unique_words") / F.col("n_words")).alias("ttr"))
-    lengths = stats.select(author, F.explode("para_sentence_counts").alias("len")).groupBy(author, "len").agg(F.count("*").alias("n"))
-    w = Window.partitionBy(author).orderBy("len")
-    middle = lengths.withColumn("upto", F.sum("n").over(w)).withColumn("all", F.sum("n").over(Window.partitionBy(author)))
-    middle = middle.where(F.col("upto") > F.floor(F.col("all") / 2)).groupBy(F.col(author).alias("of")).agg(F.min("len").alias("median_len"))
-    return sums.join(middle, F.col(author).eqNullSafe(F.col("of")), "left").drop("of")
+    lengths = F.concat(F.array(F.lit(None).cast("int")), "para_sentence_counts")  # the chapter's own row has no length
+    rows = stats.select(author, *COUNTERS, F.posexplode(lengths).alias("__k", "len")).withColumn("__own", F.col("__k") == 0)
+    own = lambda c: F.when(F.col("__own"), c)
+    sums = (F.count(own(F.lit(1))).alias("chapters"), *(F.sum(own(F.col(c))).alias(c) for c in COUNTERS), F.sum(own(F.col("n_unique_words") / F.col("n_words"))).alias("ttr"))
+    by_length = rows.groupBy(author, "len").agg(F.count(F.when(~F.col("__own"), 1)).alias("n"), *sums)
+    mine = Window.partitionBy(author)
+    upto = by_length.withColumns({"upto": F.sum("n").over(mine.orderBy("len")), "all": F.sum("n").over(mine)})
+    middle = F.when((F.col("n") > 0) & (F.col("upto") > F.floor(F.col("all") / 2)), F.col("len"))
+    out = upto.groupBy(author).agg(*(F.sum(c).alias(c) for c in ("chapters", *COUNTERS, "ttr")), F.min(middle).alias("median_len"))
+    return out.withColumn("ttr", F.col("ttr") / F.col("chapters"))
 
 
 def author_profile(stats: DataFrame, author: str = "author") -> DataFrame:
