@@ -85,9 +85,9 @@ def unwrapped(c: Column) -> Column:
     return F.regexp_replace(c, "\n+", " ")
 
 
-def pieces_by_sentence(c: Column) -> Column:
-    """Cut after . ! ? and white space, before a capital or a quote."""
-    return F.split(c, f"(?<=[{K.SENTENCE_END}])(?U:\\s)+(?=[{K.SENTENCE_START}])")
+def pieces_by_sentence(c: Column, most: int = -1) -> Column:
+    """Cut after . ! ? and white space, before a capital or a quote; into at most so many pieces, if a number is given."""
+    return F.split(c, f"(?<=[{K.SENTENCE_END}])(?U:\\s)+(?=[{K.SENTENCE_START}])", most)
 
 
 def sentences(c: Column) -> Column:

@@ -152,12 +152,12 @@ def _pieces(paragraph: Column, most: int) -> Column:
     return F.flatten(F.transform(F.array(parts), lambda ps: joined(ps, packed_runs(F.transform(ps, lambda x: x["n"]), most, 0))))
 
 
-def paragraph_chunks(docs: DataFrame, most: int, separator: int = 1, between: str = K.CHUNK_PARAGRAPH, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """(doc_id, chunk_idx, n_paragraphs, n_tokens, is_chapter_end, text) by the word tokenizer. Pieces of a paragraph longer than most are chunks of their own. No text is shuffled."""
-    df = once(docs.select(doc_id, text).where(F.col(text).isNotNull()), paras=T.paragraphs(F.col(text), between)).drop(text)
+def paragraph_chunks(docs: DataFrame, most: int, separator: int = 1, between: str = K.CHUNK_PARAGRAPH, doc_id: str = "doc_id", text: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
+    """(doc_id, chunk_idx, n_paragraphs, n_tokens, is_chapter_end, text) and the columns of docs in keep, by the word tokenizer. Pieces of a paragraph longer than most are chunks of their own. No text is shuffled."""
+    df = once(docs.select(doc_id, *keep, text).where(F.col(text).isNotNull()), paras=T.paragraphs(F.col(text), between)).drop(text)
     df = once(df, all=F.filter(_counted(F.col("paras")), lambda x: x["n"] >= 1)).drop("paras")
     df = once(df, counted=F.flatten(F.transform("all", lambda x: F.when(x["n"] > most, _pieces(x["p"], most)).otherwise(F.array(x))))).drop("all")
     df = once(df, runs=packed_runs(F.col("counted.n"), most, separator))
-    rows = df.select(doc_id, "counted", F.size("runs").alias("n_chunks"), F.posexplode("runs").alias("chunk_idx", "run"))
+    rows = df.select(doc_id, *keep, "counted", F.size("runs").alias("n_chunks"), F.posexplode("runs").alias("chunk_idx", "run"))
     body = F.transform(F.slice("counted", F.col("run.start") + 1, F.col("run.n")), lambda x: x["p"])
-    return rows.select(doc_id, "chunk_idx", F.col("run.n").cast("long").alias("n_paragraphs"), F.col("run.used").cast("long").alias("n_tokens"), (F.col("chunk_idx") == F.col("n_chunks") - 1).alias("is_chapter_end"), F.array_join(body, "\n\n").alias("text"))
+    return rows.select(doc_id, "chunk_idx", F.col("run.n").cast("long").alias("n_paragraphs"), F.col("run.used").cast("long").alias("n_tokens"), (F.col("chunk_idx") == F.col("n_chunks") - 1).alias("is_chapter_end"), F.array_join(body, "\n\n").alias("text"), *keep)

@@ -61,7 +61,7 @@ def echo(config: GenerationConfig | BriefConfig) -> Provider:
 
 def first_sentence(text: Column) -> Column:
     """The offline brief of a scene."""
-    return T.clean_brief(F.element_at(T.pieces_by_sentence(T.unwrapped(T.stripped(text))), 1))
+    return T.clean_brief(F.element_at(T.pieces_by_sentence(T.unwrapped(T.stripped(text)), 2), 1))
 
 
 def extractive_briefs(chunks: DataFrame, text: str = "text") -> DataFrame:

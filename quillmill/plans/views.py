@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..functions import constants as K
 from ..operators import chunking, generation
+from ..sources.shared import saved
 from ..sources.tables import table
 
 CHUNK_TOKENS = 200
@@ -37,14 +38,23 @@ def dimension(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """path (the doc_id), chunk_idx, n_paragraphs, n_tokens, is_chapter_end, text, author, register."""
-    docs = chapters(spark, sf_dir)
-    made = chunking.paragraph_chunks(docs, CHUNK_TOKENS, 1, r"\n").withColumnRenamed("doc_id", "path")
-    return made.join(docs.select(F.col("doc_id").alias("path"), "author", "register"), "path")
+    return chunking.paragraph_chunks(chapters(spark, sf_dir), CHUNK_TOKENS, 1, r"\n", keep=("author", "register")).withColumnRenamed("doc_id", "path")
 
 
 def briefs(chunks_: DataFrame) -> DataFrame:
     """(path, chunk_idx, author, register, brief): first sentences of at least 20 characters."""
-    return generation.extractive_briefs(chunks_).where(F.length("brief") >= 20).select("path", "chunk_idx", "author", "register", "brief")
+    return _long_enough(generation.extractive_briefs(chunks_))
+
+
+def _long_enough(rows: DataFrame) -> DataFrame:
+    return rows.where(F.length("brief") >= 20).select("path", "chunk_idx", "author", "register", "brief")
+
+
+def chunks_and_briefs(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """chunks without their text, and their briefs. Both are read off one table of rows without texts, since texts are costly to cut twice."""
+    made = chunks(spark, sf_dir).withColumn("brief", generation.first_sentence(F.col("text"))).drop("text")
+    made = saved(made)
+    return made.drop("brief"), _long_enough(made.where(F.col("brief") != ""))
 
 
 def catalog(spark: SparkSession, sf_dir: str) -> DataFrame:
