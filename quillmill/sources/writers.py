@@ -11,8 +11,8 @@ from .shared import exists
 
 
 def chapter_texts(chapters: DataFrame, path: str) -> None:
-    """Bodies by author and work; partition folders stand for the tree of text files."""
-    chapters.select("author_slug", "work_slug", "chapter_num", "body").write.mode("overwrite").partitionBy("author_slug", "work_slug").parquet(path)
+    """Bodies by author; partition folders stand for the tree of text files down to the author. A folder for each work would be a file or more for each, however small."""
+    chapters.select("author_slug", "work_slug", "chapter_num", "body").write.mode("overwrite").partitionBy("author_slug").parquet(path)
 
 
 def json_lines(rows: DataFrame, path: str, mode: str = "overwrite") -> None:
