@@ -105,7 +105,8 @@ def rounded_profile(profile: DataFrame) -> DataFrame:
 def bigram_counts(chapters: DataFrame, author: str = "author", text: str = "text") -> DataFrame:
     """(author, w1, w2, n); pairs cross sentences but not chapters, and are added up before they are shuffled."""
     df = once(chapters.select(author, text), lower=T.lowered(T.words(F.col(text)))).drop(text)
-    return df.select(author, F.inline(T.bigrams(F.col("lower")))).groupBy(author, "w1", "w2").agg(F.count("*").alias("n"))
+    pairs = df.select(author, "lower", F.posexplode("lower").alias("__k", "w2")).where("__k > 0").select(author, F.element_at("lower", F.col("__k")).alias("w1"), "w2")
+    return pairs.groupBy(author, "w1", "w2").agg(F.count("*").alias("n"))
 
 
 def distinguishing_bigrams(counts: DataFrame, author: str = "author", top: int = 30, least_count: int = 30, least_ratio: float = 2.0, least_rate: float = 1e-7) -> DataFrame:
